@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, simhash
+from . import bpe, quality_rules, simhash
 
-_MODULES = (simhash, bpe)
+_MODULES = (quality_rules, simhash, bpe)
 
 
 def queries() -> dict:
