@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, quality_rules, simhash
+from . import bpe, decontaminate, pu_quality, quality_rules, secrets, sharding, simhash
 
-_MODULES = (quality_rules, simhash, bpe)
+_MODULES = (quality_rules, decontaminate, secrets, simhash, bpe, pu_quality, sharding)
 
 
 def queries() -> dict:
