@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, decontaminate, pu_quality, quality_rules, secrets, sharding, simhash
+from . import bpe, chunks, decontaminate, pu_quality, quality_rules, secrets, sharding, simhash
 
-_MODULES = (quality_rules, decontaminate, secrets, simhash, bpe, pu_quality, sharding)
+_MODULES = (quality_rules, decontaminate, secrets, simhash, bpe, pu_quality, sharding, chunks)
 
 
 def queries() -> dict:
