@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chunks, decontaminate, lm_scores, pu_quality, quality_rules, secrets, sharding, simhash
+from . import bpe, chunks, decontaminate, lm_scores, pu_quality, quality_rules, revisits, secrets, sharding, simhash
 
-_MODULES = (lm_scores, quality_rules, decontaminate, secrets, simhash, bpe, pu_quality, sharding, chunks)
+_MODULES = (lm_scores, quality_rules, decontaminate, secrets, simhash, bpe, pu_quality, sharding, chunks, revisits)
 
 
 def queries() -> dict:
