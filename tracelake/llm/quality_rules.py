@@ -54,7 +54,9 @@ def measured(df: DataFrame, text: str) -> DataFrame:
     for k, step in enumerate(steps):
         used = {1: ["t"], 2: ["t", "words", "lines"], 3: ["t", "words", "lines", "marks"], 4: ["t", "words", "lines", "spans"], 5: ["t", "words", "lines", "spans", "again"], 6: ["t", "words", "lines", "again", "sorted"], 7: ["t", "words", "lines", "again", "found"]}.get(k, [])
         df = df.select(*kept, *used, *(c.alias(name) for name, c in step.items()))
-    df = df.select(*kept, *BASE, "n_lines")
+    # A filter on a measure must not be pushed below this, where it would be worked out once for
+    # each mention in its formula; it is not, as it comes to a column that is not deterministic.
+    df = df.select(*kept, *BASE, "n_lines", F.monotonically_increasing_id().alias("fence"))
     return df.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
 
@@ -102,7 +104,7 @@ def judged(ratios: DataFrame, bounds: DataFrame) -> DataFrame:
         inside &= F.coalesce(F.col(r) <= F.col(f"high_{r}"), F.lit(True))
         if both:
             inside &= F.coalesce(F.col(r) >= F.col(f"low_{r}"), F.lit(True))
-    return out.withColumn("kept", inside)
+    return out.withColumn("kept", inside & (F.col("fence") >= 0))
 
 
 def quality(docs: DataFrame) -> DataFrame:
