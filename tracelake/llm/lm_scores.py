@@ -25,10 +25,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, total_chars
+from .common import give_back, materialize, table, total_chars
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Weight of the unigram model in the bigram model, in tokens of context, and that of each word of the vocabulary.
 CONTEXT, EACH = 4.0, 0.1
 
@@ -121,6 +121,7 @@ def _send(shards: int):
         rows = [
             (block, k, _pack(np.diff(own.keys[a:b], prepend=np.uint64(0)), own.background[a:b], own.target[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a
         ]
+        give_back()
         kinds = (pa.int32(), pa.int32(), pa.binary())
         return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["block", "shard", "payload"])
 
@@ -148,6 +149,7 @@ def _add_up(rows: pa.Table) -> pa.Table:
         common = np.flatnonzero(times[own] > 1)
         payloads.append(_pack(np.diff(common, prepend=0), sums[0][own[common]], sums[1][own[common]]))
         at += size
+    give_back()
     total = _pack(np.array([words.sum(), sums[0][words].sum(), sums[1][words].sum()]))
     return pa.table(
         [pa.array([*blocks, -1], pa.int32()), pa.array([shard] * (len(blocks) + 1), pa.int32()), pa.array([*payloads, total], pa.binary())], names=["block", "shard", "payload"]
@@ -179,6 +181,7 @@ def _score(shards: int, vocabulary: float, tokens: tuple[float, float]):
                 at = cuts[s] + np.cumsum(steps.astype(np.int64))
                 background[at], target[at] = all_, few
         each = losses(own._replace(background=background, target=target), vocabulary, tokens)
+        give_back()
         ends = np.cumsum(own.sizes)
         sums = [np.concatenate(([0.0], np.cumsum(x)))[ends] - np.concatenate(([0.0], np.cumsum(x)))[ends - own.sizes] for x in each]
         means = [pa.array(s / np.maximum(own.sizes, 1), mask=own.sizes == 0) for s in sums]
