@@ -166,6 +166,14 @@ def test_lock_order_and_deadlock(spark):
     assert [(r.held, r.taken) for r in locks.lock_order(sync(spark, *one_step)).collect()] == [(10, 20)]
 
 
+def test_cycles_of_small_and_large_graphs_are_the_same(spark):
+    pick = random.Random(5)
+    edges = sorted({(pick.randrange(7), pick.randrange(7)) for _ in range(22)} - {(k, k) for k in range(7)})
+    table = spark.createDataFrame(edges, "held long, taken long")
+    cycles = lambda small: sorted(r.cycle for r in locks.lock_cycles(table, small).collect())
+    assert cycles(locks.SMALL) == cycles(1) and cycles(1)
+
+
 def test_contention_is_counted_once_for_a_wait_that_timed_out(spark):
     row = stats.lock_contention(sync(spark, (1, 1, "MutexLock", 10, "Timeout", 500), (2, 2, "SemPost", 11, "Success", None))).orderBy("sync_object_addr").collect()
     assert (row[0].acquire_count, row[0].contention_count, row[0].avg_wait_ns, row[0].contending_threads) == (1, 1, 500, [1])

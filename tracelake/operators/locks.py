@@ -10,6 +10,8 @@ from .kernels import hold_intervals
 
 #: Cycles of more locks than this raise an error instead of being missed.
 LONGEST_CYCLE = 1000
+#: Edges of a graph that is walked on the driver, at most.
+SMALL = 10_000
 
 
 def lock_order(sync: DataFrame) -> DataFrame:
@@ -36,10 +38,43 @@ def lock_order(sync: DataFrame) -> DataFrame:
     return found.select(F.col("span.held").alias("held"), "taken", "thread_id").distinct()
 
 
-def lock_cycles(edges: DataFrame) -> DataFrame:
-    """(cycle): each simple cycle of the graph once, as its locks from the smallest on."""
+def _walk(pairs: list[tuple[int, int]], most: int) -> list[list[int]] | None:
+    """All simple cycles of a small graph, each from its smallest lock on; None if there are more than most."""
+    after: dict[int, list[int]] = {}
+    for held, taken in sorted(pairs):
+        after.setdefault(held, []).append(taken)
+    out, steps = [], 0
+    for start in sorted(after):
+        path, choices = [start], [iter(after[start])]
+        while path:
+            lock = next(choices[-1], None)
+            steps += 1
+            if len(out) > most or steps > 50 * most:
+                return None
+            if lock is None:
+                path.pop()
+                choices.pop()
+            elif lock == start:
+                out.append(list(path))
+            elif lock > start and lock not in path:
+                path.append(lock)
+                choices.append(iter(after.get(lock, ())))
+    return out
+
+
+def lock_cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(cycle): each simple cycle of the graph once, as its locks from the smallest on.
+
+    A graph of at most small edges and not many more cycles is walked at once, as it fits anywhere;
+    any other is left to a recursive query, with the same result.
+    """
     spark = edges.sparkSession
-    edges.select("held", "taken").distinct().createOrReplaceTempView("tracelake_lock_order")
+    pairs = edges.select("held", "taken").distinct()
+    few = pairs.limit(small + 1).collect()
+    found = _walk([(r.held, r.taken) for r in few], 10 * small) if len(few) <= small else None
+    if found is not None:
+        return spark.createDataFrame([(c,) for c in found], "cycle array<long>")
+    pairs.createOrReplaceTempView("tracelake_lock_order")
     return spark.sql(
         f"""
         WITH RECURSIVE paths(start, last, path) MAX RECURSION LEVEL {LONGEST_CYCLE} AS (
