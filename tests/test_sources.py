@@ -4,7 +4,7 @@ import struct
 import pytest
 
 from tracelake.functions.scalars import hex_text, little_endian, page_align, page_offset, parse_addr, to_so_offset
-from tracelake.sources import elf, envelope, jsonl, lines, text
+from tracelake.sources import elf, envelope, generator, jsonl, lines, text
 
 
 def collected(tables, name):
@@ -169,3 +169,10 @@ def test_elf(spark, tmp_path):
     assert [(f.name, f.size) for f in stripped.functions] == [("Java_a_f", 0)] and [(s.name, s.is_imported) for s in stripped.symbols] == [("Java_a_f", False), ("puts", True)]
     with pytest.raises(ValueError):
         elf.parse(b"MZ")
+
+
+def test_generator(spark):
+    made = generator.mixed_trace(spark, 7, 3)
+    assert [made[k].count() for k in ("instructions", "register_deltas", "memory_writes")] == [224, 7, 3]
+    assert made["instructions"].where("is_branch").count() == 7 and made["instructions"].select("thread_id").distinct().count() == 3
+    assert [r.step for r in made["memory_writes"].orderBy("step").collect()] == [31, 127, 223]

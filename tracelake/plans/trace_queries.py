@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import asof, kernels, locks, lookups, pairs, stack, stats
+from ..operators import asof, extras, kernels, locks, lookups, pairs, stack, stats
 from ..schemas import ACQUIRES, HOLD_RELEASES, WAITING_STATES
 from ..sources.testdata import view, view_sql
 
@@ -384,6 +384,26 @@ _query("hold_intervals", ("sync",), f"WITH {_HOLD_SQL} SELECT lock AS sync_objec
     lambda s: kernels.hold_intervals(s).select("sync_object_addr", "thread_id", "start_step", "end_step")
 )
 
+# -- beyond the core set --------------------------------------------------------------------
+
+_query("ext_callers", ("calls",), "SELECT caller_address, count(*) AS call_count, min(seq) AS first_step FROM tr_calls WHERE callee_address = 4208 AND event_type <> 'Return' GROUP BY 1")(
+    lambda c: extras.callers(c, 4_208)
+)
+_query("ext_call_graph", ("calls", "functions"), f"""
+WITH c AS (SELECT caller_address, callee_address, count(*) AS call_count FROM tr_calls WHERE event_type <> 'Return' GROUP BY 1, 2) SELECT c.*, {_NAME_SQL.format(a="c.callee_address")} AS func_name FROM c""")(
+    extras.call_graph
+)
+_query("ext_memory_history", ("mem_writes",), f"SELECT * FROM tr_mem_writes WHERE address < 20680 AND address + size > 20580 AND step <= {EVENT_STEP}")(lambda w: extras.memory_history(w, 20_580, 100, end=EVENT_STEP))
+_query("ext_memory_accessors", ("mem_writes", "mem_reads"), """
+SELECT thread_id, CAST(sum(w) AS BIGINT) AS n_writes, CAST(sum(1 - w) AS BIGINT) AS n_reads FROM (SELECT thread_id, 1 AS w, address, size FROM tr_mem_writes UNION ALL SELECT thread_id, 0, address, size FROM tr_mem_reads) z
+WHERE address < 20680 AND address + size > 20580 GROUP BY 1""")(lambda w, r: extras.memory_accessors(w, r, 20_580, 100))
+_query("ext_jni_method", ("jni",), "SELECT * FROM tr_jni WHERE java_class = 'com.example.C3' AND java_method = 'click'")(lambda j: extras.jni_by_method(j, "com.example.C3", "click"))
+_query("ext_jni_callers", ("jni",), "SELECT thread_id, java_class, java_method, count(*) AS n FROM tr_jni WHERE native_address = 4256 AND direction = 'JavaToNative' GROUP BY 1, 2, 3")(lambda j: extras.jni_callers(j, 4_256))
+_query("ext_function_instructions", ("instructions", "functions"), f"""
+WITH i AS (SELECT seq, {_NAME_SQL.format(a="i0.address")} AS func_name FROM tr_instructions i0) SELECT func_name, count(*) AS n_instructions, min(seq) AS first_step, max(seq) AS last_step FROM i WHERE func_name IS NOT NULL GROUP BY 1""")(
+    extras.instructions_of_functions
+)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data races of the trace."""
