@@ -85,7 +85,8 @@ def thresholds(ratios: DataFrame, fence: float = FENCE, least: int = LEAST, k: i
     for r, slack, both in RATIOS:
         sketch = F.when(F.col("n") >= least, F.col(r)).when(F.col("n_l") >= least, F.col(f"{r}_l")).otherwise(F.col(f"{r}_a"))
         out = out.withColumn(f"s_{r}", sketch)
-        out = out.withColumns({f"q1_{r}": F.expr(f"kll_sketch_get_quantile_double(s_{r}, 0.25D)"), f"q3_{r}": F.expr(f"kll_sketch_get_quantile_double(s_{r}, 0.75D)")})
+        # An empty sketch has no quantile: without any text that passes there is no bound.
+        out = out.withColumns({f"q{k}_{r}": F.expr(f"case when kll_sketch_get_n_double(s_{r}) > 0 then kll_sketch_get_quantile_double(s_{r}, {q}D) end") for k, q in ((1, 0.25), (3, 0.75))})
         out = out.withColumn(f"high_{r}", F.expr(f"q3_{r} + {fence}D * (q3_{r} - q1_{r}) + {slack}D"))
         if both:
             out = out.withColumn(f"low_{r}", F.expr(f"q1_{r} - {fence}D * (q3_{r} - q1_{r}) - {slack}D"))
