@@ -15,7 +15,6 @@ other, so no shard gets more than its range of every block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -227,29 +226,5 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(table(spark, sf_dir, "documents"), trusted)
 
 
-def brute_force(docs: list[tuple[int | None, str | None]], trusted: set[int]) -> list[tuple]:
-    """The same by plain counting, for tests."""
-    from collections import Counter
-    from math import log
-
-    words = [(d, (t or "").encode().lower().split()) for d, t in docs]
-    counts = []
-    for chosen in ([w for d, w in words if d in trusted and d is not None], [w for _, w in words]):
-        counts.append((Counter(x for w in chosen for x in w), Counter(p for w in chosen for p in zip(w, w[1:])), sum(map(len, chosen))))
-    size = len(counts[1][0])
-    out = []
-    for d, w in words:
-        sums = []
-        for single, pairs, total in counts:
-            loss = 0.0
-            for k, x in enumerate(w):
-                p = (single[x] + EACH) / (total + EACH * size)
-                c, n = (single[w[k - 1]], pairs[w[k - 1], x]) if k else (0, 0)
-                loss -= log((n + CONTEXT * p) / (c + CONTEXT))
-            sums.append(loss)
-        out.append((d, len(w), *(s / len(w) if w else None for s in (*sums, sums[0] - sums[1]))))
-    return out
-
-
 QUERIES = {"op1_lm_scoring": op1_lm_scoring}
 ORACLE: dict[str, str] = {}

@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     trusted = labels.where(picked & (F.col("quality") == 1)).select(F.col("doc_id").alias("trusted")).distinct()
     measured = docs.where(picked).mapInArrow(_measure, "doc_id long, x array<double>")
     found = measured.join(trusted, F.col("doc_id") == F.col("trusted"), "left").select("doc_id", "x", F.col("trusted").isNotNull().alias("positive")).limit(sample).collect()
-    found.sort(key=lambda r: (r.doc_id, r.x))
+    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.x))
     x = np.array([r.x for r in found]).reshape(-1, len(MEASURES))
     return learn(x[[k for k, r in enumerate(found) if r.positive]], x)
 
