@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import give_back, materialize, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Code points of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 24_000_000
 #: Words whose ids a task remembers at once.
-MEMO = 1_000_000
+MEMO = 300_000
 
 _BLOCK = "block long, shard int, doc_ids array<long>, counts array<int>, payload binary"
 
@@ -123,6 +123,7 @@ def _blocks(shards: int, block_chars: int):
                 if chars and chars + len(text) > block_chars:
                     yield batch(list(rows(block, doc_ids, counts, codes, words)))
                     block, chars, doc_ids, counts, codes, words = block + 1, 0, [], [], [], {}
+                    give_back()
                 found = split(text)
                 codes.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.int32, len(found)))
                 doc_ids.append(doc_id.as_py())
@@ -130,6 +131,8 @@ def _blocks(shards: int, block_chars: int):
                 chars += len(text)
         if doc_ids:
             yield batch(list(rows(block, doc_ids, counts, codes, words)))
+        doc_ids, counts, codes, words = [], [], [], {}
+        give_back()
 
     return run
 
@@ -155,6 +158,8 @@ def _encode_words(path: str, memo: int):
                 wide = int(len(halves) != 2 * ids.size)
                 answers.append(bytes([wide]) + len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(halves, 3))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(answers, pa.binary())], ["block", "shard", "payload"])
+        known.clear()
+        give_back()
 
     return run
 
@@ -189,6 +194,7 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
             out.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32())))
         doc_ids += left.column("doc_ids")[row].as_py()
     lists = pa.chunked_array(out, pa.list_(pa.int32()))
+    give_back()
     return pa.table([pa.chunked_array([pa.array(doc_ids, pa.int64())]), lists], names=["doc_id", "ids"])
 
 
@@ -215,6 +221,7 @@ def _decode(path: str):
             lists = rows.column(rows.num_columns - 1)
             texts = pa.array((None if x is None else b"".join(map(pieces.__getitem__, x)) for x in (x.as_py() for x in lists)), pa.binary())
             yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*rows.schema.names, "decoded"])
+        give_back()
 
     return run
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 
@@ -10,8 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,9 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tracelake-")
-    spark.conf.set("tracelake.shared.dir", own)
-    return own
+    own = tempfile.mkdtemp(prefix="tracelake-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("tracelake.shared.dir", f"file://{own}")
+    return f"file://{own}"
+
+
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tracelake/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this session has materialized; results that read them must have been written."""
+    _delete(spark, _session_dir(spark))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -39,21 +54,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     and values that a rerun could assign differently (block numbers) are fixed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracelake/{tag}-{uuid.uuid4().hex}"
+    reachable(spark)
+    path = f"{_session_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracelake_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any longer."""
-    path = df._tracelake_path
-    spark = df.sparkSession
+def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any longer."""
+    _delete(df.sparkSession, df._tracelake_path)
+
+
 def sheltered(df: DataFrame) -> DataFrame:
     """df with its columns named c0, c1, ... so that no name of theirs meets one of ours."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sheltered, table
+from .common import give_back, materialize, sheltered, table
 
 MASKS = ("11101", "1111")
 #: Items of fewer words are not looked for: so few words occur by chance.
@@ -116,6 +116,8 @@ def _document_rows(packed):
             if out:
                 kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "doc_id", "text_key", "words", "seeds", "places"])
+        hashed.known.clear()
+        give_back()
 
     return run
 
@@ -159,7 +161,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first_word is the place in the document's words at which the item begins, negative if before
     its start; of several places the one with most equal words counts, then the first. text_key is
     a hash of the text. Null and short texts overlap nothing; equal items are compared once and
-    listed each; repeated rows and null doc_ids are answered row by row. Other columns are not read.
+    listed each, a repeated item_id once; repeated rows and null doc_ids are answered row by row. Other columns are not read.
     """
     spark = docs.sparkSession
     items = materialize(
@@ -183,7 +185,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         _verify, "row long, doc_id long, text_key long, item long, first_word long, n_equal long, n_compared long"
     )
     best = checked.groupBy("row", "doc_id", "text_key", "item").agg(F.max(F.struct("n_equal", "n_compared", (-F.col("first_word")).alias("back"))).alias("b"))
-    names = items.join(alike.select("words", "item"), "words").select("item", "item_id")
+    names = items.join(alike.select("words", "item"), "words").select("item", "item_id").distinct()
     return best.join(names, "item").select("doc_id", "item_id", (-F.col("b.back")).alias("first_word"), F.col("b.n_equal").alias("n_equal"), F.col("b.n_compared").alias("n_compared"), "text_key")
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, sheltered, table
+from .common import components, give_back, materialize, sheltered, table
 
 MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -54,6 +54,7 @@ def _with_fingerprints(words: int):
         for batch in batches:
             found = pa.array((fingerprint(x.as_py(), words) for x in batch.column(batch.num_columns - 1)), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], "fp"])
+        give_back()
 
     return run
 
