@@ -101,27 +101,33 @@ def repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataF
     """(doc_id, start, end, n_chunks, keep_doc_id, removed, doc): runs of chunks that other documents have too.
 
     start and end count bytes of UTF-8. Of the places of a chunk the one in the smallest doc_id
-    (nulls last), then text hash, then start is its first; a run of first places alone has removed false.
-    keep_doc_id is the smallest doc_id that has one of the run's chunks first. Rows with equal
-    doc_id and text are one document, so a repeated row is no repeat; passages that occur twice in
-    one document alone are none either. Null and empty texts have no runs.
+    (nulls last), then text hash, then start is its first. A run is removed if less than half of
+    its bytes are in their first place; keep_doc_id is the document that has the run's longest
+    chunk first, of equally long ones the earliest in the run. Rows with equal doc_id and text are
+    one document, so a repeated row is no repeat; passages that occur twice in one document alone
+    are none either. Null and empty texts have no runs.
     """
     cut = chunks(docs, cut_bits)
-    often = cut.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1")
+    # Written, so that both sides of the joins are plain shuffles, which can be split where a
+    # digest is common.
+    often = materialize(cut.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1"), "digests")
     some = materialize(cut.join(often, "d1", "left_semi").select("doc_id", "doc", "start", "end", "d1", "d2"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc", "start")
     shared = some.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(place).alias("first")).where("least <> most")
-    firsts = shared.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first")
+    firsts = materialize(shared.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"), "firsts")
     found = some.join(firsts, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
-    found = found.select("doc_id", "doc", "start", "end", F.col("first.doc_id").alias("keep"), ((F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))).alias("own")).distinct()
+    own = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
+    found = found.select("doc_id", "doc", "start", "end", F.col("first.doc_id").alias("keep"), own.alias("own")).distinct()
     order = Window.partitionBy("doc_id", "doc").orderBy("start")
     breaks = F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1)
+    size = F.col("end") - F.col("start")
     runs = found.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(order))
+    longest = F.max_by("keep", F.struct(size.alias("size"), (-F.col("start")).alias("back")))
     return (
         runs.groupBy("doc_id", "doc", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min("keep").alias("keep_doc_id"), (~F.bool_and("own")).alias("removed"))
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), longest.alias("keep_doc_id"), F.sum(F.when(F.col("own"), size).otherwise(0)).alias("own_bytes"))
         .where(F.col("end") - F.col("start") >= run)
-        .select("doc_id", "start", "end", "n_chunks", "keep_doc_id", "removed", "doc")
+        .select("doc_id", "start", "end", "n_chunks", "keep_doc_id", (2 * F.col("own_bytes") < F.col("end") - F.col("start")).alias("removed"), "doc")
     )
 
 
