@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sheltered, table
+from .common import give_back, sheltered, table
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -157,6 +157,9 @@ def made_up(seed: int = 7, count: int = 500) -> list[tuple[str, list[tuple[int,
         lambda: f"{some(string.digits, 3)}-{some(string.digits, 2)}-{some(string.digits, 4)}",
         lambda: f"{some(string.digits, 3)}.{some(string.digits, 2)}.{some(string.digits, 1)}.{some(string.digits, 3)}",
         lambda: f"{word()}: {word()}",
+        lambda: " ".join(f"{name}{k}" for name in (word(),) for k in range(pick.randint(0, 90), pick.randint(91, 96))),
+        lambda: f"{word()}{some(string.digits, pick.randint(1, 4))}",
+        lambda: f"{word()}{word().title()}{word().title()}({word()}{some(string.digits, 1)})",
     )
     keys = ("password", "pwd", "passphrase", "secret", "client_secret", "token", "access_token", "api_key", "apikey", "auth", "Bearer", "private_key", "credential", "signature", "key")
     out = []
@@ -336,9 +339,10 @@ class Tagger:
         if not hit.size:
             return []
         begins = {int(k) for k in hit if tags[k] == B or k == 0 or not tags[k - 1]}
+        # A secret ends at white space, whatever the tags.
         tagged, out = set(hit.tolist()), []
         for k, m in enumerate(_TOKEN.finditer(text)):
-            if k in begins:
+            if k in begins or k in tagged and out[-1][1] < m.start():
                 out.append((m.start(), m.end()))
             elif k in tagged:
                 out[-1] = (out[-1][0], m.end())
@@ -387,6 +391,7 @@ def _scan(model):
             found = [all_spans(x.as_py() or "", tagger) for x in rows.column(1)]
             lists = (pa.array([_listed(f[k]) for f in found], _SPAN_TYPE) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([rows.column(0), *lists], ["doc_id", "base", "spans"])
+        give_back()
 
     return run
 
@@ -406,6 +411,7 @@ def _mask(model, at: int):
         for rows in batches:
             texts = pa.array((x and _masked(x, tagger) for x in (x.as_py() for x in rows.column(at))), pa.string())
             yield rows.set_column(at, rows.schema.field(at).name, texts.cast(rows.schema.field(at).type))
+        give_back()
 
     return run
 
