@@ -35,6 +35,8 @@ from .common import give_back, materialize, table
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Code points of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 24_000_000
+#: Documents that are put together, or decoded, at once.
+_DOCS = 512
 #: Words whose ids a task remembers at once.
 MEMO = 300_000
 
@@ -52,27 +54,47 @@ def _encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
+#: Numbers that are packed or unpacked at once.
+_SLICE = 1 << 18
+
+
 def _pack_numbers(values: np.ndarray) -> bytes:
     """Unsigned numbers below 2**28 with seven bits to a byte, compressed."""
-    values = values.astype(np.uint32)
+    return zstandard.compress(b"".join(_pack_slice(values[at : at + _SLICE].astype(np.uint32)) for at in range(0, values.size, _SLICE)), 3)
+
+
+def _pack_slice(values: np.ndarray) -> bytes:
     sizes = 1 + (values >= 1 << 7).astype(np.int64) + (values >= 1 << 14) + (values >= 1 << 21)
     ends = np.cumsum(sizes)
-    out = np.empty(int(ends[-1]) if ends.size else 0, np.uint8)
+    out = np.empty(int(ends[-1]), np.uint8)
     starts = ends - sizes
     for k in range(4):
         at = np.flatnonzero(sizes > k)
         out[starts[at] + k] = (values[at] >> np.uint32(7 * k)) & np.uint32(127) | np.where(sizes[at] > k + 1, 128, 0)
-    return zstandard.compress(out.tobytes(), 3)
+    return out.tobytes()
 
 
 def _unpack_numbers(packed: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    out, at = np.empty(int(np.count_nonzero(raw < 128)), np.uint32), 0
+    start = 0
+    while start < raw.size:
+        stop = min(start + _SLICE, raw.size)
+        while raw[stop - 1] >= 128:  # a number goes on
+            stop += 1
+        found = _unpack_slice(raw[start:stop])
+        out[at : at + found.size] = found
+        at, start = at + found.size, stop
+    return out
+
+
+def _unpack_slice(raw: np.ndarray) -> np.ndarray:
     first = np.ones(raw.size, bool)
     first[1:] = raw[:-1] < 128
     starts = np.flatnonzero(first)
     sizes = np.diff(np.append(starts, raw.size))
     out = np.zeros(starts.size, np.uint32)
-    for k in range(int(sizes.max()) if sizes.size else 0):
+    for k in range(int(sizes.max())):
         at = np.flatnonzero(sizes > k)
         out[at] |= (raw[starts[at] + k] & np.uint32(127)).astype(np.uint32) << np.uint32(7 * k)
     return out
@@ -95,6 +117,7 @@ def _blocks(shards: int, block_chars: int):
     def rows(block: int, doc_ids: list, counts: list, codes: list, words: dict) -> Iterator[tuple]:
         # Frequent words get small numbers.
         flat = np.concatenate(codes) if codes else np.empty(0, np.int32)
+        codes.clear()
         often = np.bincount(flat, minlength=len(words))
         order = np.argsort(-often, kind="stable")
         number = np.empty(len(words), np.int32)
@@ -185,12 +208,12 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         begins[by] = np.cumsum(sizes[by]) - sizes[by]
         counts = np.array(left.column("counts")[row].as_py(), np.int64)
         ends = np.cumsum(counts)
-        for k in range(0, counts.size, 4096):
-            own = numbers[ends[k] - counts[k] : ends[min(k + 4096, counts.size) - 1]]
+        for k in range(0, counts.size, _DOCS):
+            own = numbers[ends[k] - counts[k] : ends[min(k + _DOCS, counts.size) - 1]]
             lengths = sizes[own]
             stops = np.cumsum(lengths)
             flat = ids[np.repeat(begins[own] - (stops - lengths), lengths) + np.arange(int(stops[-1]) if stops.size else 0)]
-            edges = np.concatenate(([0], stops))[np.concatenate(([0], ends[k : k + 4096] - (ends[k] - counts[k])))]
+            edges = np.concatenate(([0], stops))[np.concatenate(([0], ends[k : k + _DOCS] - (ends[k] - counts[k])))]
             out.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int32())))
         doc_ids += left.column("doc_ids")[row].as_py()
     lists = pa.chunked_array(out, pa.list_(pa.int32()))
@@ -217,11 +240,13 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = {rank: word for word, rank in ranks(path).items()}
         pieces = [piece.get(i) for i in range(max(piece, default=-1) + 1)]
-        for rows in batches:
-            lists = rows.column(rows.num_columns - 1)
-            texts = pa.array((None if x is None else b"".join(map(pieces.__getitem__, x)) for x in (x.as_py() for x in lists)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*rows.schema.names, "decoded"])
-        give_back()
+        for whole in batches:
+            for at in range(0, whole.num_rows, _DOCS):
+                rows = whole.slice(at, _DOCS)
+                lists = rows.column(rows.num_columns - 1)
+                texts = pa.array((None if x is None else b"".join(map(pieces.__getitem__, x)) for x in (x.as_py() for x in lists)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*rows.schema.names, "decoded"])
+            give_back()
 
     return run
 
