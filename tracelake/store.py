@@ -9,6 +9,7 @@ adds a version and leaves the others as they are.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from . import schemas
 
 _CATALOGUE = "trace_id BIGINT, serial BIGINT, so_file_id BIGINT, source STRING, base_addr BIGINT, event_count BIGINT, versions ARRAY<STRING>, deleted BOOLEAN, created_at TIMESTAMP"
-#: Rows of a file's range of steps.
-RANGE_ROWS = 4_000_000
 
 
 class CountMismatch(ValueError):
@@ -72,20 +71,19 @@ class TraceStore:
     # -- events ---------------------------------------------------------------------------
 
     def _write(self, trace_id: int, tables: dict[str, DataFrame]) -> tuple[str, int]:
-        version, total = uuid.uuid4().hex, 0
-        for kind, rows in tables.items():
-            if kind not in schemas.TABLES:
-                raise KeyError(f"no event table {kind}")
-            count = rows.count()
-            if not count:
-                continue
+        """Writes the tables at once, each in ranges of steps that the planner sizes, and counts what was written."""
+        version = uuid.uuid4().hex
+        if unknown := set(tables) - set(schemas.TABLES):
+            raise KeyError(f"no event tables {sorted(unknown)}")
+
+        def write(kind: str) -> int:
             step = schemas.STEP.get(kind, "step")
-            parts = -(-count // RANGE_ROWS)
-            spread = rows.repartitionByRange(parts, step, "ord") if parts > 1 else rows.coalesce(1)
             path = f"{self.root}/events/{kind}/trace_id={trace_id}/{version}"
-            spread.sortWithinPartitions(step, "ord").write.option("compression", "zstd").parquet(path)
-            total += count
-        return version, total
+            tables[kind].repartitionByRange(step, "ord").sortWithinPartitions(step, "ord").write.option("compression", "zstd").parquet(path)
+            return self.spark.read.schema(tables[kind].schema).parquet(path).count()  # from the files' footers
+
+        with ThreadPoolExecutor(max(1, len(tables))) as pool:
+            return version, sum(pool.map(write, tables))
 
     def save(self, tables: dict[str, DataFrame], trace_id: int = 0, so_file_id: int = 0, source: str = "", base_addr: int = 0, expected: int | None = None) -> int:
         """Writes a trace and returns its id: the given one, whose trace it replaces, or the next free one for 0.
