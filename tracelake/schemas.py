@@ -2,8 +2,8 @@
 
 A trace is one table for each kind of event. Steps are a caller's clock: neither unique nor in
 order, so `ord`, the arrival ordinal, breaks ties and (step, ord) is the total order. Addresses
-and register values are BIGINT; the loaders promote them to DECIMAL(20,0) where a value does
-not fit.
+are BIGINT, and a larger unsigned one makes the loader raise an error; register values and masks
+keep their 64 bits as signed numbers.
 """
 
 from __future__ import annotations
