@@ -5,7 +5,8 @@ the last 32 bytes. A chunk ends where the upper bits of h are zero, and nowhere
 character. Boundaries thus move along with what is inserted before them, and a passage that
 two documents share has the same chunks in both but for its first bytes. Equal digests of chunks
 are equal chunks; chunks found in two different documents or more that follow one another make
-a repeated run, and runs of RUN bytes or more are reported.
+a repeated run. Its ends are extended byte by byte over the equal text beside them, and then runs
+of RUN bytes or more are reported.
 
 The first pass counts 64 bits of a digest only, and rows that share them with no other row go no
 further. Where a digest is very common its rows are joined to the aggregate's one row, so the
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, sheltered, table
@@ -30,6 +31,10 @@ CUT_BITS = 5
 LONGEST = 4096
 #: Bytes of a run that is reported, at least: about 25 words.
 RUN = 150
+#: Bytes of a stretch that is extended from although another one is nearer to the end, at least.
+ANCHOR = 16
+#: So many such stretches at an end are extended from.
+REACH = 4
 
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 2024) for b in range(256)], np.uint32)
 
@@ -97,11 +102,176 @@ def chunks(docs: DataFrame, cut_bits: int = CUT_BITS) -> DataFrame:
     return source.mapInArrow(_chunk(cut_bits), "doc_id long, doc long, start int, end int, d1 long, d2 long")
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each end of a row of shared chunks the chunks to extend from, with the places to compare beside.
+
+    A short chunk is met in many texts, and its first place is seldom where the passage has its
+    own. So the outermost chunk is taken and those of REACH more stretches that are compared
+    elsewhere than what is beyond them. deep counts the bytes from such a chunk to the row's end.
+    """
+    for rows in batches:
+        of, listed = rows.column(1).value_lengths().to_numpy(), rows.column(1).flatten()
+        start, end, other, place = (listed.field(n).to_numpy() for n in ("start", "end", "other", "place"))
+        if not start.size:
+            continue
+        heads = np.zeros(start.size, bool)
+        heads[np.cumsum(of)[of > 0] - of[of > 0]] = True
+        heads[1:] |= start[1:] != end[:-1]
+        turns = heads.copy()
+        turns[1:] |= (other[1:] != other[:-1]) | (place[1:] - start[1:] != place[:-1] - start[:-1])
+        tails, stops = np.append(heads[1:], True), np.append(turns[1:], True)
+        row, first, last = np.cumsum(heads) - 1, np.flatnonzero(heads), np.flatnonzero(tails)
+        large = (end[stops] - start[turns] >= ANCHOR)[np.cumsum(turns) - 1]
+        at = np.arange(start.size, dtype=np.int64) - np.repeat(np.cumsum(of) - of, of)
+        doc = np.repeat(rows.column(0).to_numpy(), of)
+        lefts = turns & (heads | large)
+        lefts &= (np.cumsum(lefts) - np.cumsum(lefts)[first][row]) <= REACH
+        rights = stops & (tails | large)
+        rights &= (np.cumsum(rights)[last][row] - np.cumsum(rights)) <= REACH
+        both = np.concatenate((np.flatnonzero(lefts), np.flatnonzero(rights)))
+        right = np.arange(both.size) >= np.count_nonzero(lefts)
+        deep = np.where(right, end[last][row[both]] - end[both], start[both] - start[first][row[both]])
+        to = place[both] + np.where(right, end[both] - start[both], 0)
+        columns = (doc[both], at[both].astype(np.int32), right, other[both], to.astype(np.int32), deep.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc", "at", "right", "other", "place", "deep"])
+
+
+def _contexts(cut_bits: int):
+    """The bytes beside wanted places, as far as equal ones can reach without making equal chunks.
+
+    Equal bytes over a whole neighbouring chunk and the 32 before it would make it a chunk of both
+    texts. Cuts for length are not made by the bytes beside them, so neighbours go on across them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, 1000):
+                part = rows.slice(at, 1000)
+                out = []
+                for other, wanted, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    ends = [0, *boundaries(text, cut_bits).tolist()]
+                    number = {e: k for k, e in enumerate(ends)}
+                    for want in wanted:
+                        k, place = number[want["place"]], want["place"]
+                        if want["right"]:
+                            while k < len(ends) - 1 and ends[k] < place + want["deep"]:
+                                k += 1
+                            k = min(k + 1, len(ends) - 1)
+                            while k < len(ends) - 1 and ends[k] - ends[k - 1] >= LONGEST - 3:
+                                k += 1
+                            beside = text[place : ends[k] + 33]
+                        else:
+                            while k and ends[k] > place - want["deep"]:
+                                k -= 1
+                            k = max(k - 1, 0)
+                            while k and ends[k] - ends[k - 1] >= LONGEST - 3:
+                                k -= 1
+                            beside = text[max(ends[k] - 32, 0) : place]
+                        if beside:
+                            out.append((other, place, want["right"], beside))
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["other", "place", "right", "beside"])
+
+    return run
+
+
+def _equal(a: bytes, b: bytes) -> int:
+    """Length of the common start."""
+    n = min(len(a), len(b))
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
+    return int(differ.argmax()) if differ.any() else n
+
+
+def extended(raw: bytes, start: list, end: list, own: list, keep: list, near: list) -> list[tuple]:
+    """(start, end, own, keep, chunks) of the shared chunks and, beside them, of the equal bytes, in order.
+
+    Bytes equal to those beside a chunk's first place count as a copy; those beside a chunk that is
+    in its first place are their own, also where they are a copy by another chunk.
+    """
+    n = len(start)
+    heads = [k for k in range(n) if not k or start[k] != end[k - 1]]
+    row = [0] * n
+    for r, k in enumerate(heads):
+        row[k : heads[r + 1] if r + 1 < len(heads) else n] = [r] * ((heads[r + 1] if r + 1 < len(heads) else n) - k)
+    first = [start[k] for k in heads]
+    last = [end[k - 1] for k in [*heads[1:], n]]
+    reach: dict = {}
+    for beside in near:
+        k, other = beside["at"], beside["beside"]
+        r, kind = row[k], own[k]
+        if beside["right"]:
+            to = end[k] + _equal(raw[end[k] : end[k] + len(other)], other)
+            while to < len(raw) and raw[to] & 0xC0 == 0x80:
+                to -= 1
+            if to > max(last[r], reach.get((r, True, kind), (0, None))[0]):
+                reach[r, True, kind] = (to, keep[k])
+        else:
+            to = start[k] - _equal(raw[max(0, start[k] - len(other)) : start[k]][::-1], other[::-1])
+            while raw[to] & 0xC0 == 0x80:
+                to += 1
+            if to < min(first[r], reach.get((r, False, kind), (len(raw), None))[0]):
+                reach[r, False, kind] = (to, keep[k])
+    # Equal bytes can go on beyond the next shared chunk, which need not be of the same passage.
+    gaps = list(zip([0, *last], [*first, len(raw)]))
+    filled: dict = {}
+    for (r, right, kind), (to, of) in reach.items():
+        g = r + right
+        while 0 <= g < len(gaps):
+            a, b = (gaps[g][0], min(to, gaps[g][1])) if right else (max(to, gaps[g][0]), gaps[g][1])
+            if a >= b:
+                break
+            filled.setdefault(g, []).append((a, b, of, kind))
+            g += 1 if right else -1
+    out = []
+    for r in range(len(heads) + 1):
+        beyond = sorted(filled.get(r, ()), key=lambda x: not x[3])
+        points = sorted({p for x in beyond for p in x[:2]})
+        for a, b in zip(points, points[1:]):
+            if within := [x for x in beyond if x[0] <= a and b <= x[1]]:
+                out.append((a, b, within[0][3], within[0][2], 0))
+        if r < len(heads):
+            k, to = heads[r], heads[r + 1] if r + 1 < len(heads) else n
+            out += zip(start[k:to], end[k:to], own[k:to], keep[k:to], [1] * (to - k))
+    return out
+
+
+def verdicts(parts: list[tuple], least: int) -> Iterator[tuple[list[tuple], bool]]:
+    """The parts that follow one another over least bytes or more, and whether they are removed."""
+    a = 0
+    for b in range(1, len(parts) + 1):
+        if b < len(parts) and parts[b][0] == parts[b - 1][1]:
+            continue
+        if (size := parts[b - 1][1] - parts[a][0]) >= least:
+            yield parts[a:b], 2 * sum(p[1] - p[0] for p in parts[a:b] if p[2]) < size
+        a = b
+
+
+def _runs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, 1000):
+                part = rows.slice(at, 1000)
+                out = []
+                for doc, doc_id, listed, near, raw in zip(*part.columns):
+                    lists = (listed.values.field(n).to_pylist() for n in ("start", "end", "own", "keep"))
+                    for parts, removed in verdicts(extended(raw.as_py(), *lists, near.as_py() or []), least):
+                        longest = max(parts, key=lambda p: (p[4], p[1] - p[0], -p[0]))
+                        out.append((doc_id.as_py(), parts[0][0], parts[-1][1], sum(p[4] for p in parts), longest[3], removed, doc.as_py()))
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "start", "end", "n_chunks", "keep_doc_id", "removed", "doc"])
+
+    return run
+
+
 def repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataFrame:
-    """(doc_id, start, end, n_chunks, keep_doc_id, removed, doc): runs of chunks that other documents have too.
+    """(doc_id, start, end, n_chunks, keep_doc_id, removed, doc): runs of bytes that other documents have too.
 
     start and end count bytes of UTF-8. Of the places of a chunk the one in the smallest doc_id
-    (nulls last), then text hash, then start is its first. A run is removed if less than half of
+    (nulls last), then text hash, then start is its first. A run is neighbouring shared chunks and,
+    beyond them, the bytes equal to those beside the first place of a chunk near that end (beside its
+    last place, where the first is here), and has run bytes or more. A run is removed if less than half of
     its bytes are in their first place; keep_doc_id is the document that has the run's longest
     chunk first, of equally long ones the earliest in the run. Rows with equal doc_id and text are
     one document, so a repeated row is no repeat; passages that occur twice in one document alone
@@ -113,22 +283,22 @@ def repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataF
     often = materialize(cut.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1"), "digests")
     some = materialize(cut.join(often, "d1", "left_semi").select("doc_id", "doc", "start", "end", "d1", "d2"), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc", "start")
-    shared = some.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(place).alias("first")).where("least <> most")
-    firsts = materialize(shared.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"), "firsts")
+    shared = some.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(place).alias("first"), F.max(place).alias("last")).where("least <> most")
+    firsts = materialize(shared.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first", "last"), "firsts")
     found = some.join(firsts, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")))
     own = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
-    found = found.select("doc_id", "doc", "start", "end", F.col("first.doc_id").alias("keep"), own.alias("own")).distinct()
-    order = Window.partitionBy("doc_id", "doc").orderBy("start")
-    breaks = F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1)
-    size = F.col("end") - F.col("start")
-    runs = found.withColumn("breaks", breaks).withColumn("run", F.sum("breaks").over(order))
-    longest = F.max_by("keep", F.struct(size.alias("size"), (-F.col("start")).alias("back")))
-    return (
-        runs.groupBy("doc_id", "doc", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), longest.alias("keep_doc_id"), F.sum(F.when(F.col("own"), size).otherwise(0)).alias("own_bytes"))
-        .where(F.col("end") - F.col("start") >= run)
-        .select("doc_id", "start", "end", "n_chunks", "keep_doc_id", (2 * F.col("own_bytes") < F.col("end") - F.col("start")).alias("removed"), "doc")
-    )
+    other = F.when(own, F.col("last")).otherwise(F.col("first"))
+    found = found.select("doc_id", "doc", "start", "end", F.col("first.doc_id").alias("keep"), own.alias("own"), other["doc"].alias("other"), other["start"].alias("place"))
+    listed = F.array_sort(F.collect_set(F.struct("start", "end", "own", "keep", "other", "place")))
+    by_doc = materialize(found.groupBy("doc", "doc_id").agg(listed.alias("listed")), "shared")
+    ends = materialize(by_doc.select("doc", "listed").mapInArrow(_ends, "doc long, at int, right boolean, other long, place int, deep int"), "ends")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("raw"))
+    wanted = ends.groupBy("other", "place", "right").agg(F.max("deep").alias("deep")).groupBy("other").agg(F.collect_list(F.struct("place", "right", "deep")).alias("wanted"))
+    beside = wanted.join(texts, F.col("other") == F.col("key")).select("other", "wanted", "raw")
+    beside = materialize(beside.mapInArrow(_contexts(cut_bits), "other long, place int, right boolean, beside binary"), "beside")
+    near = ends.join(beside, ["other", "place", "right"]).groupBy("doc").agg(F.collect_set(F.struct("at", "right", "beside")).alias("near"))
+    whole = by_doc.join(texts, F.col("doc") == F.col("key")).join(near, "doc", "left").select("doc", "doc_id", "listed", "near", "raw")
+    return whole.mapInArrow(_runs(run), "doc_id long, start int, end int, n_chunks long, keep_doc_id long, removed boolean, doc long").distinct()
 
 
 def _without(at: int):
