@@ -15,6 +15,7 @@ join can be split and no task has to hold them together.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -237,13 +238,28 @@ def extended(raw: bytes, start: list, end: list, own: list, keep: list, near: li
 
 
 def verdicts(parts: list[tuple], least: int) -> Iterator[tuple[list[tuple], bool]]:
-    """The parts that follow one another over least bytes or more, and whether they are removed."""
+    """The parts that follow one another over least bytes or more, broken where removed ones begin or end.
+
+    Parts that are a copy are removed if least bytes or more of them follow one another; the rest
+    stays, so no part in its first place is ever removed.
+    """
     a = 0
     for b in range(1, len(parts) + 1):
         if b < len(parts) and parts[b][0] == parts[b - 1][1]:
             continue
-        if (size := parts[b - 1][1] - parts[a][0]) >= least:
-            yield parts[a:b], 2 * sum(p[1] - p[0] for p in parts[a:b] if p[2]) < size
+        if parts[b - 1][1] - parts[a][0] >= least:
+            kept: list = []
+            for own, group in itertools.groupby(parts[a:b], key=lambda p: p[2]):
+                group = list(group)
+                if own or group[-1][1] - group[0][0] < least:
+                    kept += group
+                    continue
+                if kept:
+                    yield kept, False
+                yield group, True
+                kept = []
+            if kept:
+                yield kept, False
         a = b
 
 
@@ -271,9 +287,10 @@ def repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataF
     start and end count bytes of UTF-8. Of the places of a chunk the one in the smallest doc_id
     (nulls last), then text hash, then start is its first. A run is neighbouring shared chunks and,
     beyond them, the bytes equal to those beside the first place of a chunk near that end (beside its
-    last place, where the first is here), and has run bytes or more. A run is removed if less than half of
-    its bytes are in their first place; keep_doc_id is the document that has the run's longest
-    chunk first, of equally long ones the earliest in the run. Rows with equal doc_id and text are
+    last place, where the first is here), and has run bytes or more. It is broken
+    into what is removed, copies of run bytes or more in a row, and what stays: chunks in their
+    first place, and shorter copies beside them; keep_doc_id is the document that has the piece's
+    longest chunk first, of equally long ones the earliest in it. Rows with equal doc_id and text are
     one document, so a repeated row is no repeat; passages that occur twice in one document alone
     are none either. Null and empty texts have no runs.
     """
