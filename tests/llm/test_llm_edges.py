@@ -318,8 +318,18 @@ def test_chunk_boundaries_resist_insertions():
     ends, others = chunks.boundaries(text), chunks.boundaries(moved) - len(b"put before ")
     assert set(ends[ends > 100]) == set(others[others > 100])
     assert all(text[:e].decode() is not None for e in ends)
-    runs = chunks.boundaries(b"a" * 20_000)
-    assert np.diff(runs, prepend=0).max() <= chunks.LONGEST and runs[-1] == 20_000
+    for word in (b"a", b"buy now, ", "漢字 ".encode()):
+        runs = chunks.boundaries(word * 20_000)
+        assert np.diff(runs, prepend=0).max() <= chunks.GAP + 2 * chunks.NEAR and runs[-1] == len(word) * 20_000
+
+
+def test_chunks_of_ids_that_repeat(spark):
+    """One doc_id with two texts is two documents; a row that repeats is one."""
+    rows = [(1, f"first {PASSAGE} end"), (1, f"other text {PASSAGE} other end"), (2, LONG[:300]), (2, LONG[:300]), (2, LONG[:300])]
+    got = chunks.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1} and sorted(r.removed for r in got) == [False, True]
+    left = [r.text for r in chunks.drop_repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(left) == 5 and left.count(LONG[:300]) == 3 and sum(PASSAGE[20:-20] in t for t in left) == 1
 
 
 def test_pipeline_stages_over_odd_rows(spark, odd, none, tmp_path):

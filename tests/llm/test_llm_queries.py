@@ -174,34 +174,105 @@ def test_op8_prior():
 
 
 def plain_chunks(text):
-    value, start, out = 0, 0, []
-    for k, byte in enumerate(text):
+    """Chunks by a loop over bytes; where no boundary comes for long, by looking at every byte around."""
+    value, hashes = 0, []
+    for byte in text:
         value = ((value << 1) + int(chunks.GEAR[byte])) & 0xFFFFFFFF
-        if k + 1 == len(text) or value >> (32 - chunks.CUT_BITS) == 0 and text[k + 1] & 0xC0 != 0x80:
-            out.append((start, k + 1))
-            start = k + 1
+        hashes.append(value)
+    inside = [byte & 0xC0 == 0x80 for byte in text]
+    ends, last = [], -chunks.SPREAD
+    for at in range(1, len(text)):
+        if hashes[at - 1] >> (32 - chunks.CUT_BITS) == 0 and not inside[at]:
+            if at - last >= chunks.SPREAD:
+                ends.append(at)
+            last = at
+    out = []
+    for a, b in zip([0, *ends], [*ends, len(text)]):
+        if b - a > chunks.GAP:
+            low = [(1 << 32) - 1 if inside[at] else hashes[at - 1] for at in range(a + 1, b)]
+            begin = a
+            for k in range(chunks.NEAR, len(low) - chunks.NEAR + 1):
+                if low[k] == min(low[k - chunks.NEAR : k + chunks.NEAR]) and a + k + 1 - begin >= chunks.NEAR:
+                    out.append((begin, a + k + 1))
+                    begin = a + k + 1
+            a = begin
+        out.append((a, b))
+    return [(a, b) for a, b in out if b > a]
+
+
+def plain_runs(texts):
+    """Whole runs of shared chunks, extended over all equal bytes, by looking at whole texts."""
+    cut = {d: [(a, b, t[a:b]) for a, b in plain_chunks(t)] for d, t in texts.items()}
+    places = {}
+    for d, pieces in cut.items():
+        for a, _, piece in pieces:
+            places.setdefault(piece, []).append((d, a))
+    out = set()
+    for d, pieces in cut.items():
+        text, parts = texts[d], []
+        for a, b, piece in pieces:
+            if len({x for x, _ in places[piece]}) > 1:
+                first = min(places[piece])
+                own = first == (d, a)
+                other, place = max(places[piece]) if own else first
+                if parts and parts[-1]["end"] == a and parts[-1]["own"] == own and (parts[-1]["other"], parts[-1]["shift"]) == (other, place - a):
+                    parts[-1] |= {"end": b, "n": parts[-1]["n"] + 1}
+                else:
+                    parts.append({"start": a, "end": b, "n": 1, "own": own, "keep": first[0], "other": other, "shift": place - a})
+        groups = []
+        for p in parts:
+            groups.append([p]) if not groups or groups[-1][-1]["end"] != p["start"] else groups[-1].append(p)
+        edges = [0, *(x for g in groups for x in (g[0]["start"], g[-1]["end"])), len(text)]
+        grown = []
+        for k, group in enumerate(groups):
+            size = lambda p: p["end"] - p["start"]
+            sides = []
+            for side, order in ((-1, group), (1, group[::-1])):
+                best = (0, None)
+                if sum(map(size, group)) >= chunks.ANCHOR:
+                    longest = max(order[: chunks.REACH], key=size)
+                    for p in {id(p): p for p in (longest, next((p for p in order if size(p) >= chunks.ANCHOR), longest))}.values():
+                        there, n = texts[p["other"]], 0
+                        at = p["start"] - 1 if side < 0 else p["end"]
+                        while 0 <= at + side * n < len(text) and 0 <= at + side * n + p["shift"] < len(there) and text[at + side * n] == there[at + side * n + p["shift"]]:
+                            n += 1
+                        to = at + side * n + (side < 0)
+                        while to < len(text) and text[to] & 0xC0 == 0x80:
+                            to -= side
+                        beyond = group[0]["start"] - to if side < 0 else to - group[-1]["end"]
+                        best = max(best, (beyond, p), key=lambda x: x[0])
+                sides.append(best)
+            (left, by), (right, of) = sides
+            floor = max(edges[2 * k], grown[-1][1] if grown else 0)
+            if left > 0 and max(floor, group[0]["start"] - left) < group[0]["start"]:
+                grown.append((max(floor, group[0]["start"] - left), group[0]["start"], 0, by["own"], by["keep"]))
+            grown += [(p["start"], p["end"], p["n"], p["own"], p["keep"]) for p in group]
+            if right > 0 and edges[2 * k + 3] > group[-1]["end"]:
+                grown.append((group[-1]["end"], min(edges[2 * k + 3], group[-1]["end"] + right), 0, of["own"], of["keep"]))
+        run = []
+        for part in [*grown, None]:
+            if part and run and run[-1][1] == part[0]:
+                run.append(part)
+                continue
+            if run and run[-1][1] - run[0][0] >= chunks.RUN:
+                copies, pieces = [], []
+                for p in run:
+                    copies.append([p]) if not copies or copies[-1][-1][3] != p[3] else copies[-1].append(p)
+                for group in copies:
+                    gone = not group[0][3] and group[-1][1] - group[0][0] >= chunks.RUN
+                    if pieces and not gone and not pieces[-1][1]:
+                        pieces[-1] = (pieces[-1][0] + group, False)
+                    else:
+                        pieces.append((group, gone))
+                for group, gone in pieces:
+                    keep = max(group, key=lambda p: (p[2] > 0, p[1] - p[0], -p[0]))[4]
+                    out.add((d, group[0][0], group[-1][1], sum(p[2] for p in group), keep, gone))
+            run = [part] if part else []
     return out
 
 
 def test_op10(spark, sf_dir, docs):
-    places, cut = {}, {}
-    for doc_id, text in docs:
-        raw = text.encode()
-        cut[doc_id] = [(a, b, raw[a:b]) for a, b in plain_chunks(raw)]
-        for a, _, piece in cut[doc_id]:
-            places.setdefault(piece, []).append((doc_id, a))
-    want = set()
-    for doc_id, pieces in cut.items():
-        run = []
-        for a, b, piece in [*pieces, (None, None, None)]:
-            if piece is not None and len({d for d, _ in places[piece]}) > 1:
-                run.append((a, b, piece))
-                continue
-            if run and run[-1][1] - run[0][0] >= chunks.RUN:
-                own = sum(b - a for a, b, p in run if min(places[p]) == (doc_id, a))
-                keep = min(places[max(run, key=lambda c: (c[1] - c[0], -c[0]))[2]])[0]
-                want.add((doc_id, run[0][0], run[-1][1], len(run), keep, 2 * own < run[-1][1] - run[0][0]))
-            run = []
+    want = plain_runs({d: t.encode() for d, t in docs})
     got = registry.queries()["op10_substring_dedup"](spark, sf_dir).collect()
     assert want and {(r.doc_id, r.start, r.end, r.n_chunks, r.keep_doc_id, r.removed) for r in got} == want and len(got) == len(want)
 

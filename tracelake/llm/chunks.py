@@ -1,16 +1,20 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash rolls over the bytes of a text: h = 2 * h + GEAR[byte], in 32 bits, so it depends on
-the last 32 bytes. A chunk ends where the upper bits of h are zero, and nowhere inside a
-character. Boundaries thus move along with what is inserted before them, and a passage that
-two documents share has the same chunks in both but for its first bytes. Equal digests of chunks
-are equal chunks; chunks found in two different documents or more that follow one another make
-a repeated run. Its ends are extended byte by byte over the equal text beside them, and then runs
-of RUN bytes or more are reported.
+the last 32 bytes. A chunk ends where the upper bits of h are zero, unless they were so within
+the SPREAD bytes before, and nowhere inside a character. What has no such place for GAP bytes, as
+a word repeated all over, is cut where h is smallest around. All this depends on nearby bytes
+only, so boundaries move along with what is inserted before them, and a passage that two documents
+share has the same chunks in both but for its first bytes.
+
+Equal digests of chunks are equal chunks; chunks found in two different documents or more that
+follow one another make a repeated run. Its ends are extended byte by byte over the equal text
+beside them, and then runs of RUN bytes or more are reported.
 
 The first pass counts 64 bits of a digest only, and rows that share them with no other row go no
 further. Where a digest is very common its rows are joined to the aggregate's one row, so the
-join can be split and no task has to hold them together.
+join can be split and no task has to hold them together. Texts are shuffled once, to the places
+that are compared, and only the bytes beside those places travel on.
 """
 
 from __future__ import annotations
@@ -24,17 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, sheltered, table
+from .common import discard, materialize, sheltered, table
 
-#: A boundary has this many upper bits zero, so a chunk has about 2 ** CUT_BITS bytes.
-CUT_BITS = 5
-#: A chunk without a boundary ends after so many bytes.
-LONGEST = 4096
+#: A boundary has this many upper bits zero, and no other such place in the SPREAD bytes before: chunks of about 34 bytes.
+CUT_BITS = 4
+SPREAD = 12
+#: Stretches longer than this are cut where the hash is the smallest of NEAR bytes to both sides.
+GAP = 128
+NEAR = 32
 #: Bytes of a run that is reported, at least: about 25 words.
 RUN = 150
-#: Bytes of a stretch that is extended from although another one is nearer to the end, at least.
-ANCHOR = 16
-#: So many such stretches at an end are extended from.
+#: A run is extended from its outermost stretch of so many bytes that has one and the same first place,
+ANCHOR = 24
+#: and from the longest of so many outermost stretches.
 REACH = 4
 
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 2024) for b in range(256)], np.uint32)
@@ -48,24 +54,32 @@ def rolled(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundaries(text: bytes, cut_bits: int = CUT_BITS, longest: int = LONGEST) -> np.ndarray:
+def _inner(hashes: np.ndarray, inside: np.ndarray) -> list[int]:
+    """Cuts of a stretch: places after the smallest hash of NEAR bytes to both sides, NEAR bytes apart."""
+    low = np.where(inside, np.uint32(0xFFFFFFFF), hashes)
+    least = low
+    for k in (1, 2, 4, 8, 16, 32):
+        least = np.minimum(least[:-k], least[k:])
+    places = np.flatnonzero(low[NEAR : NEAR + least.size] == least) + NEAR + 1
+    out, k = [], 0
+    while k < places.size:
+        out.append(int(places[k]))
+        k = int(np.searchsorted(places, out[-1] + NEAR))
+    return out
+
+
+def boundaries(text: bytes, cut_bits: int = CUT_BITS) -> np.ndarray:
     """Where chunks end, the text's end last."""
     raw = np.frombuffer(text, np.uint8)
     if not raw.size:
         return np.empty(0, np.int64)
-    ends = np.flatnonzero(rolled(raw) >> np.uint32(32 - cut_bits) == 0) + 1
-    ends = ends[ends < raw.size]
-    ends = np.append(ends[(raw[ends] & 0xC0) != 0x80], raw.size)
-    sizes = np.diff(ends, prepend=0)
-    if (long := np.flatnonzero(sizes > longest)).size:
-        more = []
-        for k in long:
-            own = np.arange(ends[k] - sizes[k] + longest, ends[k], longest)
-            while (inside := (raw[own] & 0xC0) == 0x80).any():
-                own = own - inside
-            more.append(own)
-        ends = np.union1d(ends, np.concatenate(more))
-    return ends
+    hashes, inside = rolled(raw), (raw & 0xC0) == 0x80
+    places = np.flatnonzero(hashes[:-1] >> np.uint32(32 - cut_bits) == 0) + 1
+    places = places[~inside[places]]
+    ends = np.append(places[np.diff(places, prepend=-SPREAD) >= SPREAD], raw.size)
+    begins = np.concatenate(([0], ends[:-1]))
+    more = [a + cut for a, b in zip(begins, ends) if b - a > GAP for cut in _inner(hashes[a : b - 1], inside[a + 1 : b])]
+    return np.union1d(ends, more).astype(np.int64) if more else ends
 
 
 def _chunk(cut_bits: int):
@@ -87,153 +101,169 @@ def _chunk(cut_bits: int):
                 of = np.repeat(np.arange(part.num_rows), sizes)
                 end = np.concatenate(stops)
                 start = np.concatenate([np.concatenate(([0], s[:-1])) for s in stops if s.size])
-                parts = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                parts = np.frombuffer(b"".join(digests), np.dtype([("d1", "<i8"), ("d2", "<i4"), ("rest", "<i4")]))
                 own = [part.column(k).take(pa.array(of)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (start.astype(np.int32), end.astype(np.int32), parts[:, 0], parts[:, 1]))], ["doc_id", "doc", "start", "end", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (start.astype(np.int32), end.astype(np.int32), parts["d1"].copy(), parts["d2"].copy()))], ["doc_id", "doc", "start", "end", "d1", "d2"])
 
     return run
 
 
+def _identity(doc_id: str, text: str):
+    """What stands for a document: rows with equal doc_id and text are one."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("binary"))
+
+
 def chunks(docs: DataFrame, cut_bits: int = CUT_BITS) -> DataFrame:
-    """(doc_id, doc, start, end, d1, d2): the chunks of each row's text, by bytes of its UTF-8, with digests.
+    """(doc_id, doc, start, end, d1, d2): the chunks of each row's text, by bytes of its UTF-8, with 96 bits of digest.
 
     doc stands for the pair of doc_id and text. Null and empty texts have no chunk.
     """
-    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("doc"), F.col("text").cast("binary"))
-    return source.mapInArrow(_chunk(cut_bits), "doc_id long, doc long, start int, end int, d1 long, d2 long")
+    source = docs.select(F.col("doc_id").cast("long"), _identity("doc_id", "text").alias("doc"), F.col("text").cast("binary"))
+    return source.mapInArrow(_chunk(cut_bits), "doc_id long, doc long, start int, end int, d1 long, d2 int")
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each end of a row of shared chunks the chunks to extend from, with the places to compare beside.
+_PART = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32()), ("own", pa.bool_()), ("keep", pa.int64())])
+_ASK = pa.struct([("at", pa.int32()), ("right", pa.bool_()), ("other", pa.int64()), ("place", pa.int32()), ("deep", pa.int32())])
+_STRETCHES = (
+    "doc long, doc_id long, parts array<struct<start:int,end:int,n:int,own:boolean,keep:long>>, asks array<struct<at:int,right:boolean,other:long,place:int,deep:int>>"
+)
 
-    A short chunk is met in many texts, and its first place is seldom where the passage has its
-    own. So the outermost chunk is taken and those of REACH more stretches that are compared
-    elsewhere than what is beyond them. deep counts the bytes from such a chunk to the row's end.
+
+def _anchors(sizes: list[int]) -> set[int]:
+    """Which of a run's stretches, from an end of it on, to extend that end from."""
+    if sum(sizes) < ANCHOR:
+        return set()
+    longest = max(range(min(REACH, len(sizes))), key=lambda k: sizes[k])
+    return {longest, next((k for k, n in enumerate(sizes) if n >= ANCHOR), longest)}
+
+
+def stretches(shared: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """A document's shared chunks (start, end, own, keep, other, place) in fewer pieces, and what to compare.
+
+    Chunks that follow one another here and at their first place become one part (start, end, n, own,
+    keep). An ask (at, right, other, place, deep) is for the bytes beside a place here and beside the
+    one in document other; deep of them lie in the run itself.
     """
-    for rows in batches:
-        of, listed = rows.column(1).value_lengths().to_numpy(), rows.column(1).flatten()
-        start, end, other, place = (listed.field(n).to_numpy() for n in ("start", "end", "other", "place"))
-        if not start.size:
+    parts, offsets = [], []
+    for start, end, own, keep, other, place in shared:
+        if parts and parts[-1][1] == start and parts[-1][3] == own and offsets[-1] == (other, place - start):
+            parts[-1] = (parts[-1][0], end, parts[-1][2] + 1, own, keep)
+        else:
+            parts.append((start, end, 1, own, keep))
+            offsets.append((other, place - start))
+    asks, a = [], 0
+    for b in range(1, len(parts) + 1):
+        if b < len(parts) and parts[b][0] == parts[b - 1][1]:
             continue
-        heads = np.zeros(start.size, bool)
-        heads[np.cumsum(of)[of > 0] - of[of > 0]] = True
-        heads[1:] |= start[1:] != end[:-1]
-        turns = heads.copy()
-        turns[1:] |= (other[1:] != other[:-1]) | (place[1:] - start[1:] != place[:-1] - start[:-1])
-        tails, stops = np.append(heads[1:], True), np.append(turns[1:], True)
-        row, first, last = np.cumsum(heads) - 1, np.flatnonzero(heads), np.flatnonzero(tails)
-        large = (end[stops] - start[turns] >= ANCHOR)[np.cumsum(turns) - 1]
-        at = np.arange(start.size, dtype=np.int64) - np.repeat(np.cumsum(of) - of, of)
-        doc = np.repeat(rows.column(0).to_numpy(), of)
-        lefts = turns & (heads | large)
-        lefts &= (np.cumsum(lefts) - np.cumsum(lefts)[first][row]) <= REACH
-        rights = stops & (tails | large)
-        rights &= (np.cumsum(rights)[last][row] - np.cumsum(rights)) <= REACH
-        both = np.concatenate((np.flatnonzero(lefts), np.flatnonzero(rights)))
-        right = np.arange(both.size) >= np.count_nonzero(lefts)
-        deep = np.where(right, end[last][row[both]] - end[both], start[both] - start[first][row[both]])
-        to = place[both] + np.where(right, end[both] - start[both], 0)
-        columns = (doc[both], at[both].astype(np.int32), right, other[both], to.astype(np.int32), deep.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["doc", "at", "right", "other", "place", "deep"])
-
-
-def _contexts(cut_bits: int):
+        sizes = [p[1] - p[0] for p in parts[a:b]]
+        for right, of in ((False, _anchors(sizes)), (True, {len(sizes) - 1 - k for k in _anchors(sizes[::-1])})):
+            for k in of:
+                at = parts[a + k][1 if right else 0]
+                other, offset = offsets[a + k]
+                asks.append((at, right, other, at + offset, parts[b - 1][1] - at if right else at - parts[a][0]))
+        a = b
+    return parts, asks
+
+
+def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("start", "end", "own", "keep", "other", "place")
+    for rows in batches:
+        for at in range(0, rows.num_rows, 1000):
+            part = rows.slice(at, 1000)
+            found = []
+            for listed in part.column(2):
+                each = zip(*(listed.values.field(n).to_pylist() for n in names))
+                once = {chunk[0]: chunk for chunk in each}  # a repeated row has its chunks twice
+                found.append(stretches([once[k] for k in sorted(once)]))
+            lists = [pa.array([[dict(zip(kind.names, x)) for x in f[k]] for f in found], pa.list_(kind)) for k, kind in ((0, _PART), (1, _ASK))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc", "doc_id", "parts", "asks"])
+
+
+def _beside(cut_bits: int):
     """The bytes beside wanted places, as far as equal ones can reach without making equal chunks.
 
-    Equal bytes over a whole neighbouring chunk and the 32 before it would make it a chunk of both
-    texts. Cuts for length are not made by the bytes beside them, so neighbours go on across them.
+    Equal bytes over a whole neighbouring chunk and what its boundary depends on, 32 + SPREAD bytes
+    before it, would make it a chunk of both texts. A second neighbour is taken as well, for cuts of
+    long stretches depend on more.
     """
+    margin = 32 + SPREAD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for at in range(0, rows.num_rows, 1000):
-                part = rows.slice(at, 1000)
+            for at in range(0, rows.num_rows, 500):
+                part = rows.slice(at, 500)
                 out = []
-                for other, wanted, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    ends = [0, *boundaries(text, cut_bits).tolist()]
-                    number = {e: k for k, e in enumerate(ends)}
+                for doc, wanted, text in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    ends = np.concatenate(([0], boundaries(text, cut_bits)))
                     for want in wanted:
-                        k, place = number[want["place"]], want["place"]
+                        place = want["place"]
                         if want["right"]:
-                            while k < len(ends) - 1 and ends[k] < place + want["deep"]:
-                                k += 1
-                            k = min(k + 1, len(ends) - 1)
-                            while k < len(ends) - 1 and ends[k] - ends[k - 1] >= LONGEST - 3:
-                                k += 1
-                            beside = text[place : ends[k] + 33]
+                            k = min(int(np.searchsorted(ends, place + want["deep"])) + 2, ends.size - 1)
+                            beside = text[place : ends[k] + margin]
+                            while beside and place + len(beside) < len(text) and text[place + len(beside)] & 0xC0 == 0x80:
+                                beside = beside[:-1]
                         else:
-                            while k and ends[k] > place - want["deep"]:
-                                k -= 1
-                            k = max(k - 1, 0)
-                            while k and ends[k] - ends[k - 1] >= LONGEST - 3:
-                                k -= 1
-                            beside = text[max(ends[k] - 32, 0) : place]
-                        if beside:
-                            out.append((other, place, want["right"], beside))
+                            k = max(int(np.searchsorted(ends, place - want["deep"], "right")) - 3, 0)
+                            a = max(int(ends[k]) - margin, 0)
+                            while text[a] & 0xC0 == 0x80:
+                                a += 1
+                            beside = text[a:place]
+                        out.append((doc, place, want["right"], beside, want["other"], want["other_place"]))
                 if out:
-                    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["other", "place", "right", "beside"])
+                    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc", "at", "right", "beside", "other", "place"])
 
     return run
 
 
-def _equal(a: bytes, b: bytes) -> int:
-    """Length of the common start."""
-    n = min(len(a), len(b))
-    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
-    return int(differ.argmax()) if differ.any() else n
+def equal_bytes(mine: bytes, theirs: bytes, right: bool) -> int:
+    """How many bytes of mine agree with theirs from the place between on, whole characters only."""
+    n = min(len(mine), len(theirs))
+    a, b = (mine[:n], theirs[:n]) if right else (mine[len(mine) - n :][::-1], theirs[len(theirs) - n :][::-1])
+    differ = np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8)
+    n = int(differ.argmax()) if differ.any() else n
+    edge = (lambda: n < len(mine) and mine[n]) if right else (lambda: n and mine[len(mine) - n])
+    while n and edge() & 0xC0 == 0x80:
+        n -= 1
+    return n
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        found = [equal_bytes(*x) for x in zip(*(rows.column(n).to_pylist() for n in ("mine", "theirs", "right")))]
+        yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("at"), rows.column("right"), pa.array(found, pa.int32())], ["doc", "at", "right", "n"])
 
 
-def extended(raw: bytes, start: list, end: list, own: list, keep: list, near: list) -> list[tuple]:
-    """(start, end, own, keep, chunks) of the shared chunks and, beside them, of the equal bytes, in order.
+def extended(parts: list[tuple], near: list[tuple]) -> list[tuple]:
+    """parts and, beside their runs, the equal bytes that near (at, right, n) tells of, as parts without chunks, in order.
 
-    Bytes equal to those beside a chunk's first place count as a copy; those beside a chunk that is
-    in its first place are their own, also where they are a copy by another chunk.
+    Bytes equal to those beside a part's first place count as a copy; those beside a part that is in
+    its first place are its own, also where they are a copy by another part. An extension ends at
+    the next shared chunk; of two that meet in a gap the one to the right goes first.
     """
-    n = len(start)
-    heads = [k for k in range(n) if not k or start[k] != end[k - 1]]
-    row = [0] * n
-    for r, k in enumerate(heads):
-        row[k : heads[r + 1] if r + 1 < len(heads) else n] = [r] * ((heads[r + 1] if r + 1 < len(heads) else n) - k)
-    first = [start[k] for k in heads]
-    last = [end[k - 1] for k in [*heads[1:], n]]
-    reach: dict = {}
-    for beside in near:
-        k, other = beside["at"], beside["beside"]
-        r, kind = row[k], own[k]
-        if beside["right"]:
-            to = end[k] + _equal(raw[end[k] : end[k] + len(other)], other)
-            while to < len(raw) and raw[to] & 0xC0 == 0x80:
-                to -= 1
-            if to > max(last[r], reach.get((r, True, kind), (0, None))[0]):
-                reach[r, True, kind] = (to, keep[k])
-        else:
-            to = start[k] - _equal(raw[max(0, start[k] - len(other)) : start[k]][::-1], other[::-1])
-            while raw[to] & 0xC0 == 0x80:
-                to += 1
-            if to < min(first[r], reach.get((r, False, kind), (len(raw), None))[0]):
-                reach[r, False, kind] = (to, keep[k])
-    # Equal bytes can go on beyond the next shared chunk, which need not be of the same passage.
-    gaps = list(zip([0, *last], [*first, len(raw)]))
-    filled: dict = {}
-    for (r, right, kind), (to, of) in reach.items():
-        g = r + right
-        while 0 <= g < len(gaps):
-            a, b = (gaps[g][0], min(to, gaps[g][1])) if right else (max(to, gaps[g][0]), gaps[g][1])
-            if a >= b:
-                break
-            filled.setdefault(g, []).append((a, b, of, kind))
-            g += 1 if right else -1
+    begins, ends = {p[0]: k for k, p in enumerate(parts)}, {p[1]: k for k, p in enumerate(parts)}
+    reach: dict[tuple[int, bool], tuple] = {}
+    for at, right, n in near:
+        k = ends[at] if right else begins[at]
+        edge, step = k, 1 if right else -1
+        while 0 <= edge + step < len(parts) and parts[min(edge, edge + step)][1] == parts[max(edge, edge + step)][0]:
+            edge += step
+        to = at + n if right else at - n
+        beyond = to - parts[edge][1] if right else parts[edge][0] - to
+        if beyond > reach.get((edge, right), (0,))[0]:
+            reach[edge, right] = (beyond, parts[k][3], parts[k][4])
     out = []
-    for r in range(len(heads) + 1):
-        beyond = sorted(filled.get(r, ()), key=lambda x: not x[3])
-        points = sorted({p for x in beyond for p in x[:2]})
-        for a, b in zip(points, points[1:]):
-            if within := [x for x in beyond if x[0] <= a and b <= x[1]]:
-                out.append((a, b, within[0][3], within[0][2], 0))
-        if r < len(heads):
-            k, to = heads[r], heads[r + 1] if r + 1 < len(heads) else n
-            out += zip(start[k:to], end[k:to], own[k:to], keep[k:to], [1] * (to - k))
+    for k, part in enumerate(parts):
+        if (k, False) in reach:
+            n, own, keep = reach[k, False]
+            start = max(part[0] - n, out[-1][1] if out else 0)
+            if start < part[0]:
+                out.append((start, part[0], 0, own, keep))
+        out.append(part)
+        if (k, True) in reach:
+            n, own, keep = reach[k, True]
+            end = min(part[1] + n, parts[k + 1][0]) if k + 1 < len(parts) else part[1] + n
+            out.append((part[1], end, 0, own, keep))
     return out
 
 
@@ -249,7 +279,7 @@ def verdicts(parts: list[tuple], least: int) -> Iterator[tuple[list[tuple], bool
             continue
         if parts[b - 1][1] - parts[a][0] >= least:
             kept: list = []
-            for own, group in itertools.groupby(parts[a:b], key=lambda p: p[2]):
+            for own, group in itertools.groupby(parts[a:b], key=lambda p: p[3]):
                 group = list(group)
                 if own or group[-1][1] - group[0][0] < least:
                     kept += group
@@ -269,11 +299,11 @@ def _runs(least: int):
             for at in range(0, rows.num_rows, 1000):
                 part = rows.slice(at, 1000)
                 out = []
-                for doc, doc_id, listed, near, raw in zip(*part.columns):
-                    lists = (listed.values.field(n).to_pylist() for n in ("start", "end", "own", "keep"))
-                    for parts, removed in verdicts(extended(raw.as_py(), *lists, near.as_py() or []), least):
-                        longest = max(parts, key=lambda p: (p[4], p[1] - p[0], -p[0]))
-                        out.append((doc_id.as_py(), parts[0][0], parts[-1][1], sum(p[4] for p in parts), longest[3], removed, doc.as_py()))
+                for doc, doc_id, listed, near in zip(*(part.column(k).to_pylist() for k in range(4))):
+                    parts = [tuple(p.values()) for p in listed]
+                    for pieces, removed in verdicts(extended(parts, [tuple(x.values()) for x in near or ()]), least):
+                        longest = max(pieces, key=lambda p: (p[2] > 0, p[1] - p[0], -p[0]))
+                        out.append((doc_id, pieces[0][0], pieces[-1][1], sum(p[2] for p in pieces), longest[4], removed, doc))
                 if out:
                     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "start", "end", "n_chunks", "keep_doc_id", "removed", "doc"])
@@ -281,24 +311,14 @@ def _runs(least: int):
     return run
 
 
-def repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataFrame:
-    """(doc_id, start, end, n_chunks, keep_doc_id, removed, doc): runs of bytes that other documents have too.
-
-    start and end count bytes of UTF-8. Of the places of a chunk the one in the smallest doc_id
-    (nulls last), then text hash, then start is its first. A run is neighbouring shared chunks and,
-    beyond them, the bytes equal to those beside the first place of a chunk near that end (beside its
-    last place, where the first is here), and has run bytes or more. It is broken
-    into what is removed, copies of run bytes or more in a row, and what stays: chunks in their
-    first place, and shorter copies beside them; keep_doc_id is the document that has the piece's
-    longest chunk first, of equally long ones the earliest in it. Rows with equal doc_id and text are
-    one document, so a repeated row is no repeat; passages that occur twice in one document alone
-    are none either. Null and empty texts have no runs.
-    """
+def _shared(docs: DataFrame, cut_bits: int) -> DataFrame:
+    """(doc, doc_id, parts, asks) of each document with a chunk that another document has too."""
     cut = chunks(docs, cut_bits)
     # Written, so that both sides of the joins are plain shuffles, which can be split where a
     # digest is common.
     often = materialize(cut.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1"), "digests")
     some = materialize(cut.join(often, "d1", "left_semi").select("doc_id", "doc", "start", "end", "d1", "d2"), "chunks")
+    discard(often)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "doc", "start")
     shared = some.groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(place).alias("first"), F.max(place).alias("last")).where("least <> most")
     firsts = materialize(shared.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first", "last"), "firsts")
@@ -306,16 +326,44 @@ def repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataF
     own = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
     other = F.when(own, F.col("last")).otherwise(F.col("first"))
     found = found.select("doc_id", "doc", "start", "end", F.col("first.doc_id").alias("keep"), own.alias("own"), other["doc"].alias("other"), other["start"].alias("place"))
-    listed = F.array_sort(F.collect_set(F.struct("start", "end", "own", "keep", "other", "place")))
-    by_doc = materialize(found.groupBy("doc", "doc_id").agg(listed.alias("listed")), "shared")
-    ends = materialize(by_doc.select("doc", "listed").mapInArrow(_ends, "doc long, at int, right boolean, other long, place int, deep int"), "ends")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("raw"))
-    wanted = ends.groupBy("other", "place", "right").agg(F.max("deep").alias("deep")).groupBy("other").agg(F.collect_list(F.struct("place", "right", "deep")).alias("wanted"))
-    beside = wanted.join(texts, F.col("other") == F.col("key")).select("other", "wanted", "raw")
-    beside = materialize(beside.mapInArrow(_contexts(cut_bits), "other long, place int, right boolean, beside binary"), "beside")
-    near = ends.join(beside, ["other", "place", "right"]).groupBy("doc").agg(F.collect_set(F.struct("at", "right", "beside")).alias("near"))
-    whole = by_doc.join(texts, F.col("doc") == F.col("key")).join(near, "doc", "left").select("doc", "doc_id", "listed", "near", "raw")
-    return whole.mapInArrow(_runs(run), "doc_id long, start int, end int, n_chunks long, keep_doc_id long, removed boolean, doc long").distinct()
+    listed = found.groupBy("doc", "doc_id").agg(F.collect_list(F.struct("start", "end", "own", "keep", "other", "place")).alias("listed"))
+    out = materialize(listed.mapInArrow(_stretched, _STRETCHES), "shared")
+    discard(some)
+    discard(firsts)
+    return out
+
+
+def repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataFrame:
+    """(doc_id, start, end, n_chunks, keep_doc_id, removed, doc): runs of bytes that other documents have too.
+
+    start and end count bytes of UTF-8. Of the places of a chunk the one in the smallest doc_id
+    (nulls last), then text hash, then start is its first. A run is neighbouring shared chunks and,
+    beyond them, the bytes equal to those beside the first place of chunks near that end (beside
+    their last place, where the first is here), and has run bytes or more. It is broken
+    into what is removed, copies of run bytes or more in a row, and what stays: chunks in their
+    first place, and shorter copies beside them; keep_doc_id is the document that has the piece's
+    longest stretch first, of equally long ones the earliest in it. Rows with equal doc_id and text are
+    one document, so a repeated row is no repeat; passages that occur twice in one document alone
+    are none either. Rows with equal doc_id and different texts are different documents. Null and
+    empty texts have no runs, very long ones are cut like any other, an empty table gives an empty
+    result, and other columns are not read.
+    """
+    by_doc = _shared(docs, cut_bits)
+    asks = by_doc.select("doc", F.explode("asks").alias("a")).select("doc", "a.*")
+    nobody = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("int").alias("other_place")]
+    mine = asks.select("doc", F.col("at").alias("place"), "right", "deep", "other", F.col("place").alias("other_place"))
+    asked = asks.groupBy(F.col("other").alias("doc"), "place", "right").agg(F.max("deep").alias("deep")).select("doc", "place", "right", "deep", *nobody)
+    wanted = mine.unionByName(asked).groupBy("doc").agg(F.collect_list(F.struct("place", "right", "deep", "other", "other_place")).alias("wanted"))
+    texts = docs.select(_identity("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("raw"))
+    met = wanted.join(texts, F.col("doc") == F.col("key")).select("doc", "wanted", "raw")
+    beside = materialize(met.mapInArrow(_beside(cut_bits), "doc long, at int, right boolean, beside binary, other long, place int"), "beside")
+    theirs = beside.where("other is null").select(F.col("doc").alias("t_doc"), F.col("at").alias("t_at"), F.col("right").alias("t_right"), F.col("beside").alias("theirs")).dropDuplicates(["t_doc", "t_at", "t_right"])
+    pairs = beside.where("other is not null").join(theirs, (F.col("other") == F.col("t_doc")) & (F.col("place") == F.col("t_at")) & (F.col("right") == F.col("t_right")))
+    lengths = materialize(pairs.select("doc", "at", "right", F.col("beside").alias("mine"), "theirs").mapInArrow(_lengths, "doc long, at int, right boolean, n int"), "lengths")
+    discard(beside)
+    near = lengths.groupBy(F.col("doc").alias("of")).agg(F.collect_set(F.struct("at", "right", "n")).alias("near"))
+    whole = by_doc.join(near, F.col("doc") == F.col("of"), "left").select("doc", "doc_id", "parts", "near")
+    return whole.mapInArrow(_runs(run), "doc_id long, start int, end int, n_chunks long, keep_doc_id long, removed boolean, doc long")
 
 
 def _without(at: int):
@@ -334,12 +382,16 @@ def _without(at: int):
 
 
 def drop_repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataFrame:
-    """docs without the runs that repeated() gives as removed; rows and other columns stay as they are."""
+    """docs without the runs that repeated() gives as removed; rows and other columns stay as they are.
+
+    Every chunk stays at its first place. Null texts stay null, a text that is all copies becomes
+    empty, repeated rows are cut alike, an empty table stays empty, and columns may have any name.
+    """
     names, safe = docs.columns, sheltered(docs)
     own_id, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
     spans = repeated(safe.select(F.col(own_id).alias("doc_id"), F.col(text).alias("text")), cut_bits, run).where("removed")
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = safe.withColumn("key", F.xxhash64(F.col(own_id).cast("long"), text)).join(spans, F.col("key") == F.col("doc"), "left").select(*safe.columns, "spans")
+    joined = safe.withColumn("key", _identity(own_id, text)).join(spans, F.col("key") == F.col("doc"), "left").select(*safe.columns, "spans")
     return joined.mapInArrow(_without(names.index("text")), joined.schema).select(*safe.columns).toDF(*names)
 
 
