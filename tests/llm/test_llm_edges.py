@@ -220,6 +220,28 @@ def test_simhash(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    """One doc_id with different texts: neither a duplicate stays nor does a text go that has no other."""
+    a, b, c = PLAIN, LONG[:4000], PASSAGE
+    for ids, want in (
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(7, a), (7, b), (7, b)], [(7, a), (7, b)]),
+        ([(2, a), (2, c), (None, c), (None, b), (None, b), (1, a)], [(1, a), (2, c), (None, b)]),
+    ):
+        got = simhash.one_of_each(frame(spark, [(*r, "en", "a") for r in ids])).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_no_group_loses_its_only_text(spark):
+    pick = np.random.default_rng(5)
+    texts = [" ".join(f"w{pick.integers(400)}" for _ in range(60)) for _ in range(12)]
+    rows = [(int(pick.integers(8)), texts[int(pick.integers(12))]) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {simhash.fingerprint(t.encode()) for _, t in rows}
+    left = [simhash.fingerprint(r.text.encode()) for r in simhash.one_of_each(docs).collect()]
+    assert len(prints) == len({t for _, t in rows}) and sorted(left) == sorted(prints)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_simhash_links_of_crowded_fingerprints(spark, seed):
     """Fingerprints in a ball, and chains of them, by all three ways through a bucket."""
@@ -249,7 +271,7 @@ def test_simhash_links_of_crowded_fingerprints(spark, seed):
     unsigned = lambda rows: [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in rows]
     values = values[:400]
     want = groups((values[k], v) for k in range(values.size) for v in values[np.flatnonzero(np.bitwise_count(values ^ values[k]) <= 4)])
-    for bucket in (simhash.BUCKET, 5):
+    for bucket in (simhash.BUCKET, 50, 5):
         assert groups(unsigned(simhash.links(table, bucket=bucket).collect())) == want
 
 

@@ -130,7 +130,7 @@ def plain_components(prints):
 
 @pytest.mark.parametrize("bucket", [simhash.BUCKET, 1])
 def test_op6(spark, sf_dir, docs, bucket):
-    """With buckets of one fingerprint the way over midpoints is taken."""
+    """Buckets of one fingerprint are split at all levels."""
     prints = {d: plain_fingerprint(t) for d, t in docs}
     want = plain_components(prints)
     got = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), bucket=bucket).collect()
