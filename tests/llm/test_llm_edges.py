@@ -179,6 +179,45 @@ def test_the_field_finds_what_no_pattern_does():
     assert tagger.spans(PLAIN) == tagger.spans("call +1 (555) 123-4567 on 2024-01-12 about version 1.2.3") == []
 
 
+def test_the_field_on_shapes_it_has_not_seen():
+    """Recall and precision on secrets that no pattern finds, and on harmless text."""
+    import random
+    import string
+
+    pick = random.Random(2024)
+    some = lambda chars, n: "".join(pick.choices(chars, k=n))
+    every = string.ascii_letters + string.digits
+    shapes = (
+        lambda: "AIza" + some(every + "-_", 35), lambda: "xoxb-" + some(string.digits, 12) + "-" + some(every, 24), lambda: "glpat-" + some(every, 20), lambda: "SG." + some(every, 22) + "." + some(every, 43),
+        lambda: "npm_" + some(every, 36), lambda: some(string.ascii_uppercase + "234567", 32), lambda: "eyJ" + some(every, 33) + "." + some(every, 52) + "." + some(every, 43),
+    )
+    tagger, found, whole, spans = secrets.Tagger(secrets.train([])), 0, 0, 0
+    for k in range(140):
+        secret = shapes[k % len(shapes)]()
+        head = f"{PLAIN[: 10 + k % 60]}\n{pick.choice(('auth', 'key', 'credential', 'Bearer', 'client key'))}{pick.choice((' = ', ': ', ' '))}"
+        text = f"{head}{secret} {PLAIN[k % 40 :]}"
+        if secrets.base_spans(text):
+            continue
+        whole += 1
+        own = tagger.spans(text)
+        spans += len(own)
+        found += any(a <= len(head) + 4 and b >= len(head) + len(secret) for a, b in own)
+    assert whole > 100 and found / whole >= 0.9 and found / spans >= 0.9
+    unseen = [s for s in secrets.made_up(seed=424242, count=400) if not secrets.base_spans(s[0])]
+    want = {(k, a, b) for k, (_, own) in enumerate(unseen) for a, b in own}
+    got = {(k, a, b) for k, (text, _) in enumerate(unseen) for a, b in tagger.spans(text)}
+    assert len(want) > 50 and len(want & got) / len(want) >= 0.9 and len(want & got) / len(got) >= 0.9
+
+
+def test_a_secret_longer_than_its_pattern_is_masked_whole():
+    tagger = secrets.Tagger(secrets.train([]))
+    for text in ("password = hunter123!ABC and more", "token: 0123456789abcdef0123456789abcdefXYZxyzQRS0129 end"):
+        base, spans = secrets.all_spans(text, tagger)
+        assert base and set(base) <= set(spans)
+        assert all(not any(s <= a and b <= e for s, _, e in base) for a, k, b in spans if k == 3)
+    assert "ABC" not in secrets._masked("password = hunter123!ABC and more", tagger)
+
+
 def full_viterbi(tagger, text):
     """Tags by the plain recursion over every token."""
     words = secrets._TOKEN.findall(text)
@@ -280,9 +319,32 @@ def test_bpe(spark, odd, none):
     texts = sorted((r.text or "").encode() for r in odd.collect())
     assert sorted(bytes(r.decoded) for r in got) == texts and all((len(r.ids) == 0) == (len(r.decoded) == 0) for r in got)
     assert bpe.encode(none).count() == 0
-    small_memo = bpe.encode(odd, memo=3).collect()
-    assert sorted((str(r.doc_id), r.ids) for r in small_memo) == sorted((str(r.doc_id), r.ids) for r in got)
-    assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).select("decoded").collect() == [(None,), (bytearray(),)]
+    for many in (50, 5000, 1 << 30):
+        again = bpe.encode(odd, shard_bytes=many).collect()
+        assert sorted((str(r.doc_id), r.ids) for r in again) == sorted((str(r.doc_id), r.ids) for r in got)
+    odd_ids = spark.createDataFrame([(1, None), (2, []), (3, [72, 73])], "doc_id long, ids array<int>").coalesce(1)
+    assert bpe.decode(odd_ids).select("decoded").collect()[:2] == [(None,), (bytearray(),)]
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(spark.createDataFrame([(1, [1 << 30])], "doc_id long, ids array<int>")).collect()
+
+
+def test_each_word_is_encoded_once():
+    calls = []
+    messages = [[b"a", b"b", b"c"], [b"c", b"a"], [], [b"a", b"d"]]
+    out = bpe.answered(messages, lambda word: calls.append(word) or [ord(word), 1])
+    assert sorted(calls) == [b"a", b"b", b"c", b"d"]
+    assert [[np.frombuffer(x, np.uint32).tolist() for x in own] for own in out] == [[[ord(w), 1] for w in own] for own in messages]
+
+
+def test_a_word_has_one_shard(spark, odd):
+    """So the distinct words of a shard are distinct over all documents."""
+    source = odd.select("doc_id", "text").repartition(5)
+    rows = source.mapInArrow(bpe._blocks(7, 300), bpe._BLOCK).where("shard >= 0").collect()
+    of = {}
+    for r in rows:
+        for word in bpe._split(bytes(r.payload)):
+            of.setdefault(word, []).append(r.shard)
+    assert len({r.block for r in rows}) > 3 and max(map(len, of.values())) > 2 and all(len(set(x)) == 1 for x in of.values())
 
 
 def test_pu_quality(spark, odd, none):

@@ -1,23 +1,27 @@
-"""Byte-level BPE encoding by a global shuffle of distinct words, and decoding by the token-byte table.
+"""Byte-level BPE encoding by a global shuffle of distinct words, and decoding by a join with the token-byte table.
 
 1. Each task cuts its documents into blocks. A block's texts become positions: for each
    document, in order, the numbers of its pre-tokens in the block's list of distinct ones. That
    is the explosion of pre-tokens with positions, with a number of one to three bytes for a row.
-2. The distinct words of all blocks go to their shard, by hash. There each distinct word is
-   encoded once, and the block gets back the ids of the words that it sent.
+2. The distinct words of all blocks go to their shard, by hash. A shard holds all places of its
+   words, makes them distinct over all blocks, encodes each once, and sends each block the ids of the
+   words that it asked for. Shards grow in number with the text, so one has about as much as any block.
 3. Ids join positions by block, and each document's ids are put together by position.
 
 Blocks are written before they are used, so a lost executor cannot change their numbering. The
 shuffle carries each distinct word once for each block instead of each pre-token, and a frequent
-word is one entry of a block like any other. A task holds one block, or a stream of shard rows
-beside a memo of a bounded number of words.
+word is one entry of a block like any other, so no shard is hot. A task holds one block or one shard.
+
+Decoding explodes ids with positions, joins them to the table of token bytes by id and puts the
+bytes together by position. The table is as large as the vocabulary, so each task has its own and
+ids need no shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -30,15 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, table
+from .common import give_back, materialize, table, total_chars
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Code points of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 24_000_000
+#: Bytes of text for each shard of words, about.
+SHARD_BYTES = 12_000_000
 #: Documents that are put together, or decoded, at once.
 _DOCS = 512
-#: Words whose ids a task remembers at once.
-MEMO = 300_000
+#: Ids that are decoded at once, unless one document has more.
+_IDS = 1 << 22
 
 _BLOCK = "block long, shard int, doc_ids array<long>, counts array<int>, payload binary"
 
@@ -160,29 +166,27 @@ def _blocks(shards: int, block_chars: int):
     return run
 
 
-def _encode_words(path: str, memo: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def answered(messages: list[list[bytes]], one: Callable[[bytes], list[int]]) -> list[list[bytes]]:
+    """For each message the ids of its words, as bytes of four each; one() is called once for each distinct word."""
+    distinct = dict.fromkeys(word for words in messages for word in words)
+    for word in distinct:
+        distinct[word] = np.array(one(word), np.uint32).tobytes()
+    return [[distinct[word] for word in words] for words in messages]
+
+
+def _encode_shard(path: str):
+    def run(rows: pa.Table) -> pa.Table:
         one = _encoder(path).encode_single_piece if hasattr(tiktoken.Encoding, "encode_single_piece") else _encoder(path)._core_bpe.encode_single_piece
-        known: dict[bytes, bytes] = {}
-        for rows in batches:
-            answers = []
-            for payload in rows.column(2):
-                out = []
-                for word in _split(payload.as_py()):
-                    if (ids := known.get(word)) is None:
-                        if len(known) >= memo:
-                            known.clear()
-                        ids = known[word] = np.array(one(word), np.uint32).tobytes()
-                    out.append(ids)
-                sizes = np.fromiter(map(len, out), np.int64, len(out)) >> 2
-                ids = np.frombuffer(b"".join(out), np.uint32)
-                lengths = _pack_numbers(sizes)
-                halves = ids.astype(np.uint16).tobytes() if not ids.size or ids.max() < 1 << 16 else ids.tobytes()
-                wide = int(len(halves) != 2 * ids.size)
-                answers.append(bytes([wide]) + len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(halves, 3))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(answers, pa.binary())], ["block", "shard", "payload"])
-        known.clear()
+        answers = []
+        for out in answered([_split(payload.as_py()) for payload in rows.column("payload")], one):
+            sizes = np.fromiter(map(len, out), np.int64, len(out)) >> 2
+            ids = np.frombuffer(b"".join(out), np.uint32)
+            lengths = _pack_numbers(sizes)
+            halves = ids.astype(np.uint16).tobytes() if not ids.size or ids.max() < 1 << 16 else ids.tobytes()
+            wide = int(len(halves) != 2 * ids.size)
+            answers.append(bytes([wide]) + len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(halves, 3))
         give_back()
+        return pa.table([rows.column("block"), rows.column("shard"), pa.array(answers, pa.binary())], names=["block", "shard", "payload"])
 
     return run
 
@@ -221,31 +225,55 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table([pa.chunked_array([pa.array(doc_ids, pa.int64())]), lists], names=["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, path: str = RANKS, block_chars: int = BLOCK_CHARS, memo: int = MEMO) -> DataFrame:
+def encode(docs: DataFrame, path: str = RANKS, block_chars: int = BLOCK_CHARS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, ids): the token ids of each row's text, as the tiktoken library's encode_ordinary gives.
 
-    Null and empty texts have no ids. Repeated rows and null doc_ids are answered row by row;
-    other columns are not read. path names a file of ranks that every executor has.
+    Null and empty texts have no ids. Repeated rows, several texts of one doc_id and null doc_ids are
+    answered row by row; a very long text is a block of its own; an empty table gives an empty
+    result, and other columns are not read. path names a file of ranks that every executor has.
     """
-    shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, -(-total_chars(docs) // shard_bytes))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     coded = materialize(source.mapInArrow(_blocks(shards, block_chars), _BLOCK), "blocks")
-    words = coded.where("shard >= 0").select("block", "shard", "payload").repartition("shard")
-    ids = words.mapInArrow(_encode_words(path, memo), "block long, shard int, payload binary")
+    words = coded.where("shard >= 0").select("block", "shard", "payload")
+    ids = words.groupBy("shard").applyInArrow(_encode_shard(path), "block long, shard int, payload binary")
     positions = coded.where("shard < 0").select("block", "doc_ids", "counts", "payload")
     return positions.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
+def token_bytes(path: str) -> pa.Table:
+    """(id, piece): the bytes that each id of the vocabulary stands for."""
+    known = ranks(path)
+    return pa.table([pa.array(known.values(), pa.int32()), pa.array(known.keys(), pa.binary())], names=["id", "piece"])
+
+
+def _joined(lists: pa.ListArray, tokens: pa.Table) -> pa.Array:
+    """The bytes of each list of ids: ids with their positions joined to tokens, and put together by position."""
+    sizes = np.diff(lists.offsets.to_numpy()) if lists.null_count == 0 else np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+    flat = lists.flatten()
+    met = pa.table([flat, pa.array(np.arange(len(flat)))], names=["id", "at"]).join(tokens, "id", join_type="left outer", use_threads=False)
+    pieces = met.column("piece").combine_chunks().take(pa.array(np.argsort(met.column("at").to_numpy())))
+    if pieces.null_count:
+        raise ValueError("an id that is not in the vocabulary")
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    _, offsets, data = pieces.buffers()
+    each = np.frombuffer(offsets, np.int32, len(pieces) + 1, pieces.offset * 4) if len(pieces) else np.zeros(1, np.int32)
+    out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(each[ends].astype(np.int32).tobytes()), data if data is not None else pa.py_buffer(b"")])
+    return out if lists.null_count == 0 else pa.array([x if ok.as_py() else None for x, ok in zip(out, lists.is_valid())], pa.binary())
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = {rank: word for word, rank in ranks(path).items()}
-        pieces = [piece.get(i) for i in range(max(piece, default=-1) + 1)]
+        tokens = token_bytes(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, _DOCS):
-                rows = whole.slice(at, _DOCS)
-                lists = rows.column(rows.num_columns - 1)
-                texts = pa.array((None if x is None else b"".join(map(pieces.__getitem__, x)) for x in (x.as_py() for x in lists)), pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns, texts], [*rows.schema.names, "decoded"])
+            todo = [whole.slice(at, _DOCS) for at in range(whole.num_rows - 1 - (whole.num_rows - 1) % _DOCS, -1, -_DOCS)]
+            while todo:
+                rows = todo.pop()
+                if rows.num_rows > 1 and len(rows.column(1).flatten()) > _IDS:
+                    half = rows.num_rows // 2
+                    todo += [rows.slice(half), rows.slice(0, half)]
+                    continue
+                yield pa.RecordBatch.from_arrays([*rows.columns, _joined(rows.column(1), tokens)], [*rows.schema.names, "decoded"])
             give_back()
 
     return run
@@ -255,7 +283,7 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """encoded (doc_id, ids) with decoded: the bytes that the ids stand for, joined from the table of token bytes.
 
     The table has a row for each rank of the vocabulary file, so its size is that file's. Null
-    ids decode to null, an empty list to no bytes; an unknown id raises an error.
+    ids decode to null, an empty list to no bytes; an unknown or null id in a list raises an error.
     """
     source = encoded.select("doc_id", "ids")
     return source.mapInArrow(_decode(path), "doc_id long, ids array<int>, decoded binary")

@@ -65,7 +65,7 @@ def measures(text: str | None) -> list[float]:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         found = pa.array([measures(x.as_py()) for x in rows.column(1)], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([rows.column(0), found], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), found, *rows.columns[2:]], ["doc_id", "x", *rows.schema.names[2:]])
 
 
 class Model(NamedTuple):
@@ -150,14 +150,21 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600) -> Mod
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most sample rows of docs, and of labels those with quality 1 outside the held-out part."""
+    """A model from at most sample rows of docs, and of labels those with quality 1 outside the held-out part.
+
+    A hash of doc_id and text picks the rows, so a rerun takes the same ones, and rows without a
+    doc_id are picked like others. A null or empty text has the measures of no words, repeated rows
+    count each, and without trusted or without any rows all scores are one half.
+    """
     docs, labels = docs.select(F.col("doc_id").cast("long"), "text"), labels.select(F.col("doc_id").cast("long"), "quality")
     rows = docs.count()
     most = int((1 << 30) * min(1.0, 0.8 * sample / max(1, rows)))
-    picked = (F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < most) & ~_held_out()
-    trusted = labels.where(picked & (F.col("quality") == 1)).select(F.col("doc_id").alias("trusted")).distinct()
-    measured = docs.where(picked).mapInArrow(_measure, "doc_id long, x array<double>")
-    found = measured.join(trusted, F.col("doc_id") == F.col("trusted"), "left").select("doc_id", "x", F.col("trusted").isNotNull().alias("positive")).limit(sample).collect()
+    pick = F.xxhash64("doc_id", "text", F.lit("quality"))
+    trusted = labels.where(~_held_out() & (F.col("quality") == 1)).select(F.col("doc_id").alias("trusted")).distinct()
+    picked = docs.withColumn("pick", pick).where((F.pmod("pick", F.lit(1 << 30)) < most) & ~_held_out()).select("doc_id", "text", "pick")
+    measured = picked.mapInArrow(_measure, "doc_id long, x array<double>, pick long")
+    marked = measured.join(trusted, F.col("doc_id") == F.col("trusted"), "left").select("doc_id", "x", F.col("trusted").isNotNull().alias("positive"), "pick")
+    found = marked.orderBy("pick", F.col("doc_id").asc_nulls_last()).limit(sample).collect()
     found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.x))
     x = np.array([r.x for r in found]).reshape(-1, len(MEASURES))
     return learn(x[[k for k, r in enumerate(found) if r.positive]], x)
@@ -180,8 +187,9 @@ def _scored(model: Model):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of docs; score is the model's probability of quality 1.
 
-    Null and empty texts have the score of a text without words. Repeated rows and null doc_ids
-    are answered row by row; lang, source and other columns are not read.
+    Null and empty texts have the score of a text without words, very long ones are measured whole.
+    Repeated rows, several texts of one doc_id and null doc_ids are answered row by row; an empty
+    table gives an empty result; lang, source and other columns are not read.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scored(model), "doc_id long, score double")
 

@@ -5,8 +5,8 @@ earlier full response with the same canonical URL: an as-of join. The response's
 must agree with the revisit's, and headers that a not-modified answer may update replace the
 response's own.
 
-The as-of join works by slices of time, laid so that all records together have at most
-SLICE_ROWS in one, however many a single URL has: within a slice a window carries the last
+The as-of join works by slices of time of about SLICE_ROWS records each, however many a single
+URL or second has: within a slice a window carries the last
 response along, and from slice to slice a window over one row for each URL and slice does. No
 task holds all records of a frequent URL. Bodies take no part and are joined by record id afterwards.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 SLICE_ROWS = 1_000_000
 #: Headers of a not-modified answer that replace those of the stored response.
@@ -53,13 +53,16 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
-def _slices(records: DataFrame, slice_rows: int) -> list:
-    rows = records.count()
-    parts = -(-rows // slice_rows)
+def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """rows with piece, the slice of time; written, as a sample lays the slices.
+
+    They are cut between records, not between times, so records of one second can be many slices.
+    """
+    parts = -(-rows.count() // slice_rows)
     if parts < 2:
-        return []
-    cuts = records.agg(F.percentile_approx(F.col("at").cast("long"), [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
-    return sorted(set(cuts))
+        return rows.withColumn("piece", F.lit(0))
+    ranged = rows.repartitionByRange(parts, "at", F.col("kind") == "response", "record_id")
+    return materialize(ranged.withColumn("piece", F.spark_partition_id()), "slices")
 
 
 def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -78,9 +81,7 @@ def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     of = lambda name: F.try_element_at(F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
     rows = records.select("record_id", "kind", "at", "status", "headers", key.alias("url_key"), of("etag").alias("etag"), of("last-modified").alias("modified"))
     rows = rows.where("kind = 'revisit' or (kind = 'response' and status = 200 and url_key is not null)")
-    cuts = _slices(rows, slice_rows)
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("at").cast("long"))) if cuts else F.lit(0)
-    rows = rows.withColumn("piece", F.coalesce(piece, F.lit(0)))
+    rows = _sliced(rows, slice_rows)
     stored = F.struct("at", "record_id", "status", "headers", "etag", "modified")
     rows = rows.withColumn("own", F.when(F.col("kind") == "response", stored))
     # What a slice hands on: its last response; for each slice, that of the nearest earlier one.
@@ -111,7 +112,11 @@ def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
 
 
 def with_bodies(resolved: DataFrame, records: DataFrame, *bodies: str) -> DataFrame:
-    """resolved with columns of the response's own record, such as its body; null where outcome is not a resolution."""
+    """resolved with columns of the response's own record, such as its body; null where outcome is not a resolution.
+
+    A response's record_id should be unique: of several, each gives a row. Bodies may be null, empty
+    or very long; an empty table gives an empty result.
+    """
     own = records.where("kind = 'response'").select(F.col("record_id").alias("body_of"), *bodies)
     good = F.col("outcome").isin("resolved", "unverified")
     return resolved.join(own, good & (F.col("response_id") == F.col("body_of")), "left").drop("body_of")
@@ -122,6 +127,8 @@ def captures(pages: DataFrame) -> DataFrame:
 
     Pages are captured a minute apart. Of seven responses one has status 503. Every fifth revisit
     has an ETag of its own, every third of the others has none, and every ninth precedes the response.
+    A null html is an empty body, a null url stays null, and a repeated page gives its records again;
+    other columns are not read.
     """
     i, body = F.col("page_id"), F.coalesce(F.col("html"), F.lit(""))
     tag = F.concat(F.lit('"'), F.substring(F.md5(body.cast("binary")), 1, 16), F.lit('"'))

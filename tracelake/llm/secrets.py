@@ -13,6 +13,9 @@ such tokens does not depend on anything outside. Only those stretches are decode
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import json
 import random
 import re
 import string
@@ -179,30 +182,45 @@ def made_up(seed: int = 7, count: int = 500) -> list[tuple[str, list[tuple[int,
     return out
 
 
-def _examples(texts: list[str]) -> tuple[list[tuple[list[list[int]], list[int]]], set[str]]:
+def _windows(text: str, secrets: list[tuple[int, int]]) -> dict[str, list]:
+    """What training can learn from a text: windows at up to four secrets, at two random places, and words before secrets.
+
+    A window is (file features, words with two more to both sides, first and last place in them, tags).
+    """
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(secrets):
+        if merged and a < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    words, tags = _tags(text, merged)
+    pick, file = random.Random(zlib.crc32(text.encode("utf-8", "replace"))), _file_features(text)
+    hot = [k for k, t in enumerate(tags) if t == B][:4]
+
+    def window(k: int) -> list:
+        a, b = max(0, k - SPAN // 2), min(len(words), k + SPAN // 2)
+        low = max(0, a - 2)
+        return [file, words[low : b + 2], a - low, b - low, tags[a:b]]
+
+    far = [pick.randrange(len(words)) for _ in range(2) if words]
+    before = [sorted({w.lower() for w in words[max(0, k - 4) : k] if _plain(w)}) for k in hot]
+    return {"near": [window(k) for k in hot], "far": [window(k) for k in far], "before": before}
+
+
+def _examples(found: list[dict[str, list]]) -> tuple[list[tuple[list[list[int]], list[int]]], set[str]]:
     """Windows of feature ids with their tags, and the words that stand before secrets more than once."""
     pick, near, far, before = random.Random(11), [], [], Counter()
-    labelled = [(t, [(s[3], s[2]) for s in base_spans(t)]) for t in texts]
-    for text, spans in [*labelled, *made_up()]:
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
-            if merged and a < merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        words, tags = _tags(text, merged)
-        hot = [k for k, t in enumerate(tags) if t == B][:4]
-        for k in hot:
-            before.update({w.lower() for w in words[max(0, k - 4) : k] if _plain(w)})
-        for k, into in [*((h, near) for h in hot), *((pick.randrange(len(words)), far) for _ in range(2) if words)]:
-            into.append((text, words, tags, range(max(0, k - SPAN // 2), min(len(words), k + SPAN // 2))))
+    for own in [*found, *(_windows(*x) for x in made_up())]:
+        near += own["near"]
+        far += own["far"]
+        before.update(w for words in own["before"] for w in words)
     known = {w for w, n in before.items() if n > 2}
     for windows in (near, far):
         pick.shuffle(windows)
     out = []
-    for text, words, tags, at in near[: 2 * WINDOWS] + far[: 2 * WINDOWS]:
-        file = _ids("file", _file_features(text))
-        out.append(([_window(words, i, file, known) for i in at], [tags[i] for i in at]))
+    for features, words, a, b, tags in near[: 2 * WINDOWS] + far[: 2 * WINDOWS]:
+        file = _ids("file", features)
+        out.append(([_window(words, i, file, known) for i in range(a, b)], tags))
     return out, known
 
 
@@ -211,14 +229,14 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def train(texts: list[str], rounds: int = 60, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray, set[str]]:
+def train(found: list[dict[str, list]], rounds: int = 60, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray, set[str]]:
     """Weights of B and I over O for each feature, transitions between tags, and the known words.
 
-    texts are the sampled documents; without any, the made-up ones alone are learned from. The
+    found are the sampled documents' windows; without any, the made-up ones alone are learned from. The
     log-likelihood's gradient comes from the forward and backward recursions, over all windows
     at once, and Adagrad follows it for a fixed number of rounds.
     """
-    examples, known = _examples(texts)
+    examples, known = _examples(found)
     count, most = len(examples), max(len(f) for e, _ in examples for f in e)
     unused = len(ROLES) * WIDTH
     ids = np.full((count, SPAN, most), unused, np.int32)
@@ -278,8 +296,8 @@ class Tagger:
         self.weights, self.moves, self.known = model
         m = self.moves
         # What a tag other than O can gain at most by transitions, against O in the same place.
-        self.gain = np.array([max(m[a, t] - m[a, O] for a in range(3)) + max(m[t, b] - m[O, b] for b in range(3)) for t in (B, I)])
-        self.gain = np.maximum(self.gain, 0).astype(np.float32)
+        # At a text's ends one of the two transitions is absent, so neither counts below zero.
+        self.gain = np.array([max(0, *(m[a, t] - m[a, O] for a in range(3))) + max(0, *(m[t, b] - m[O, b] for b in range(3))) for t in (B, I)], np.float32)
         self.clear()
 
     def clear(self) -> None:
@@ -346,7 +364,14 @@ class Tagger:
                 out.append((m.start(), m.end()))
             elif k in tagged:
                 out[-1] = (out[-1][0], m.end())
-        return out
+        # Pieces of one secret with a mark of the likes of a dot between them.
+        whole: list[tuple[int, int]] = []
+        for start, end in out:
+            if whole and start - whole[-1][1] == 1 and text[whole[-1][1]] in ".:_-~=+/":
+                whole[-1] = (whole[-1][0], end)
+            else:
+                whole.append((start, end))
+        return whole
 
     def _best(self, score: list[list[float]], before: bool, after: bool) -> list[int]:
         """Viterbi's path over a stretch, beside O where the text goes on."""
@@ -370,9 +395,15 @@ class Tagger:
 
 
 def all_spans(text: str, tagger: Tagger) -> tuple[list, list]:
-    """The patterns' spans as (start, kind, end), and those with the field's that touch none of them."""
+    """The patterns' spans as (start, kind, end), and those with the field's that reach beyond each of them."""
     base = [s[:3] for s in base_spans(text)]
-    added = [(a, 3, b) for a, b in tagger.spans(text) if b - a >= 6 and not any(a < e and s < b for s, _, e in base)]
+    starts = [s[0] for s in base]
+    reach = list(itertools.accumulate((s[2] for s in base), max))
+    added = []
+    for a, b in tagger.spans(text):
+        k = bisect.bisect_right(starts, a)
+        if b - a >= 6 and not (k and reach[k - 1] >= b):
+            added.append((a, 3, b))
     return base, sorted([*base, *added])
 
 
@@ -416,28 +447,47 @@ def _mask(model, at: int):
     return run
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """A field trained on at most sample documents, which a hash of their ids picks."""
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        texts = [x.as_py() for x in rows.column(1)]
+        found = [json.dumps(_windows(t, [(s[3], s[2]) for s in base_spans(t)])) for t in texts]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.string())], ["pick", "found"])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, set[str]]:
+    """A field trained on windows of at most sample documents.
+
+    A hash of doc_id and text picks the documents, so a rerun takes the same ones, and rows without
+    a doc_id are picked like others. Windows are cut where the texts are, and a few of each reach
+    the driver. Null and empty texts are left out; of repeated rows each counts. Without any text
+    the made-up secrets alone are learned from.
+    """
     rows = docs.count()
-    few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.8 * sample / max(1, rows))))
-    texts = few.where(F.length("text") > 0).select("text").limit(sample).collect()
-    return train(sorted(r.text for r in texts))
+    some = docs.where(F.length("text") > 0).select(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit("secrets")).alias("pick"), F.col("text").cast("string"))
+    few = some.where(F.pmod("pick", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.8 * sample / max(1, rows))))
+    found = few.mapInArrow(_sampled, "pick long, found string").orderBy("pick", "found").limit(sample).collect()
+    return train([json.loads(r.found) for r in found])
 
 
 def find_secrets(docs: DataFrame, model=None) -> DataFrame:
     """(doc_id, base, spans) for each row of docs; spans are structs of kind, start and end in code points.
 
     base are the patterns' spans, spans those and the field's, in order of start and kind. A null
-    or empty text has none. Repeated rows and null doc_ids are answered row by row, overlapping
-    spans of different kinds are all listed, and other columns are not read. Without a model one is
-    fitted to docs.
+    or empty text has none, a very long one is scanned whole. Repeated rows, several texts of one
+    doc_id and null doc_ids are answered row by row. Overlapping spans of different kinds are all
+    listed, but for the field's within a pattern's. An empty table gives an empty result, and other
+    columns are not read. Without a model one is fitted to docs.
     """
     model = model or fit(docs)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(model), f"doc_id long, base {_SPANS}, spans {_SPANS}")
 
 
 def redact(docs: DataFrame, model=None) -> DataFrame:
-    """docs with every secret in text replaced by MASK, and n_chars, if there is one, counted anew where text changed."""
+    """docs with every secret in text replaced by MASK, and n_chars, if there is one, counted anew where text changed.
+
+    Spans that overlap are masked as one. Null and empty texts stay as they are, rows are neither
+    dropped nor merged, an empty table stays empty, and columns may have any name.
+    """
     model = model or fit(docs)
     names, safe = docs.columns, sheltered(docs)
     at = names.index("text")

@@ -61,7 +61,7 @@ def place(rows: DataFrame, key: str, shards: Sequence[str] = SHARDS, slots: int
     """
     claimed = ",".join(map(str, lookup_table(shards, slots)))
     spread = rows.sparkSession.range(1).select(F.posexplode(F.split(F.lit(claimed), ",")).alias("at", "k"))
-    names = F.split(F.lit("\n".join(shards)), "\n")
+    names = F.array(*map(F.lit, shards))
     lookup = spread.select(F.col("at").cast("long").alias("slot"), F.element_at(names, F.col("k").cast("int") + 1).alias("shard"))
     keyed = rows.withColumn("slot", slot_of(F.col(key), slots)).drop("shard")
     return keyed.join(F.broadcast(lookup), "slot").select(*(c for c in keyed.columns if c != "slot"), "slot", "shard")
