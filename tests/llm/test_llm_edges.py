@@ -86,7 +86,7 @@ def test_quality_thresholds_adapt(spark):
 
 
 def test_decontamination(spark, odd, none):
-    items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "too short"), (1, PASSAGE), (None, PASSAGE)], "item_id long, text string")
+    items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "not in any line"), (1, PASSAGE), (None, PASSAGE)], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, items).collect()), key=str)
     assert got == sorted([(8, 1), (9, 1), (8, None), (9, None)], key=str)
     left = decontaminate.drop_contaminated(odd, items)
@@ -109,6 +109,16 @@ def test_substituted_words_are_tolerated(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()] == [(1, 7)]
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 37 * k) for k in range(40))
+    docs = frame(spark, [(1, f"a line\nWhat is it?\n{PLAIN}", "en", "a"), (2, "so what is it then", "en", "a"), (3, f"前{han[5:30]}後", "zh", "a"), (4, "what IS it", "en", "a"), (5, han[::-1], "zh", "a"), (6, "what\nis\nit", "en", "a"), (6, PLAIN, "en", "a")])
+    items = spark.createDataFrame([(1, "what is it"), (None, "what is it"), (2, han), (None, PASSAGE)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.n_equal) for r in decontaminate.overlaps(docs, items).collect()), key=str)
+    assert got == sorted([(1, 1, 3), (1, None, 3), (4, 1, 3), (4, None, 3), (6, 1, 3), (6, None, 3), (3, 2, 12)], key=str)
+    assert sorted((r.doc_id, r.text == PLAIN) for r in decontaminate.drop_contaminated(docs, items).collect()) == [(2, False), (5, False), (6, True)]
+    assert {r.doc_id for r in decontaminate.overlaps(frame(spark, [(9, f"x {PASSAGE} y", "en", "a")]), items).where("item_id is null").collect()} == {9}
+
+
 def record(n, kind, url, at, status=200, **headers):
     return n, kind, url, at, status, {k.replace("_", "-"): v for k, v in headers.items()}
 

@@ -4,7 +4,10 @@ A seed is the hash of some words of a stretch; its mask says which, and the othe
 Seeds of test items and of documents are joined by equality. Around each hit the item is laid
 along the document and words are compared in place: that is an overlap if STRETCH words in
 a row have at least SHARE equal, or all of the item's words within the document have. The two
-masks miss no overlap of 8 to 20 words with that share (the tests try all of them).
+masks miss no overlap of 8 to 20 words with that share (the tests try all of them). An item of
+fewer than LEAST words, which stand together by chance, is met where a whole line, or the whole
+text, is just its words: the seed is the whole line then. In scripts that are written without
+spaces each character is a word.
 
 Before the join a fixed bitmap of the items' seeds, of BITS bits whatever their number, drops
 nearly all seeds of documents on the spot. It never drops a hit, so the result does not depend
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import give_back, materialize, sheltered, table
 
 MASKS = ("11101", "1111")
-#: Items of fewer words are not looked for: so few words occur by chance.
+#: Items of fewer words are looked for as whole lines or texts.
 LEAST = 8
 STRETCH = 12
 SHARE = 0.8
@@ -34,7 +37,9 @@ BITS = 1 << 24
 #: Words whose hashes a task remembers at once.
 MEMO = 400_000
 
-_WORD = re.compile(r"\w+")
+# Ranges of scripts written without spaces (Thai and Lao, Burmese, Khmer, kana, Han).
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_SPACELESS}]|(?:(?![{_SPACELESS}])\w)+")
 _BITMAP = 8 * 4096  # bits of one bitmap of Spark's
 
 
@@ -45,13 +50,30 @@ class Words:
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall((text or "").lower())
+        return self.by_line(text)[0]
+
+    def by_line(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The words' hashes, and how many words each line has."""
+        lines = [_WORD.findall(line) for line in (text or "").lower().split("\n")]
+        words = [w for line in lines for w in line]
         if len(self.known) > MEMO:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.fromiter(map(len, lines), np.int64, len(lines))
+
+
+def whole_seed(words: np.ndarray) -> np.ndarray:
+    """The seed of a short line as a whole."""
+    return np.array([xxhash.xxh64_intdigest(words.tobytes(), 1)], np.uint64)
+
+
+def short_lines(words: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Places of lines of 1 to LEAST - 1 words, and of the whole text if it is as short."""
+    ends = np.cumsum(sizes)
+    out = {(int(ends[k] - sizes[k]), int(ends[k])) for k in np.flatnonzero((sizes > 0) & (sizes < LEAST))}
+    return sorted(out | {(0, words.size)} if 0 < words.size < LEAST else out)
 
 
 def seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -76,8 +98,8 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashed = Words()
     for rows in batches:
         words = [hashed(x.as_py()) for x in rows.column(1)]
-        each = [np.concatenate([seeds(w, m) for m in MASKS]) if w.size >= LEAST else np.empty(0, np.uint64) for w in words]
-        at = [np.concatenate([np.arange(max(0, w.size - len(m) + 1)) for m in MASKS]) if w.size >= LEAST else np.empty(0, np.int64) for w in words]
+        each = [np.concatenate([seeds(w, m) for m in MASKS]) if w.size >= LEAST else whole_seed(w)[: w.size] for w in words]
+        at = [np.concatenate([np.arange(max(0, w.size - len(m) + 1)) for m in MASKS]) if w.size >= LEAST else np.zeros(min(w.size, 1), np.int64) for w in words]
         lists = [pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (words, each, at)]
         yield pa.RecordBatch.from_arrays([rows.column(0), *lists], ["item_id", "words", "seeds", "places"])
 
@@ -101,15 +123,16 @@ def _document_rows(packed):
         for rows in batches:
             out = []
             for doc_id, text, key in zip(*rows.columns):
-                words = hashed(text.as_py())
+                words, sizes = hashed.by_line(text.as_py())
                 hits, places = [], []
-                for mask in MASKS:
-                    found = seeds(words, mask)
-                    near = np.arange(found.size)
+                short = short_lines(words, sizes)
+                whole = [whole_seed(words[a:b]) for a, b in short]
+                for found, near in [*((seeds(words, mask), None) for mask in MASKS), (np.concatenate(whole or [np.empty(0, np.uint64)]), np.array([a for a, _ in short], np.int64))]:
+                    of, near = near, np.arange(found.size)
                     for k in range(3):
                         near = near[bitmap[_probes(found[near])[k]]]
                     hits.append(found[near])
-                    places.append(near)
+                    places.append(near if of is None else of[near])
                 if sum(map(len, places)):
                     out.append((at, doc_id.as_py(), key.as_py(), *(x.view(np.int64) for x in (words, np.concatenate(hits), np.concatenate(places)))))
                     at += 1
@@ -125,11 +148,13 @@ def _document_rows(packed):
 def best_overlap(document: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """Equal words and compared ones of the overlap of two sequences of equal length; (0, 0) if it is none.
 
-    It is one if SHARE of all words agree, or of the STRETCH in a row that agree most. The
-    item's words outside the document count as different.
+    It is one if SHARE of all words agree, or of the STRETCH in a row that agree most; of fewer
+    than LEAST words all must. The item's words outside the document count as different.
     """
     equal = (document == item).astype(np.int64)
     n, whole = equal.size, int(equal.sum())
+    if 0 < n < LEAST:
+        return (n, n) if whole == n else (0, 0)
     if n >= LEAST and whole >= SHARE * n:
         return whole, n
     if n >= STRETCH:
@@ -160,15 +185,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     first_word is the place in the document's words at which the item begins, negative if before
     its start; of several places the one with most equal words counts, then the first. text_key is
-    a hash of the text. Null and short texts overlap nothing; equal items are compared once and
-    listed each, a repeated item_id once; repeated rows and null doc_ids are answered row by row. Other columns are not read.
+    a hash of the text. Null and wordless texts overlap nothing; equal items are compared once and
+    listed each, a repeated item_id once, an item without id under null; repeated rows, several texts
+    of one doc_id and null doc_ids are answered row by row. Very long texts are read whole, empty
+    tables give empty results, and other columns are not read.
     """
     spark = docs.sparkSession
     items = materialize(
         benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, "item_id long, words array<long>, seeds array<long>, places array<long>"), "items"
     )
-    alike = items.where(F.size("words") >= LEAST).groupBy("words").agg(F.min("item_id").alias("item"), F.first("seeds").alias("seeds"), F.first("places").alias("places"))
-    alike = materialize(alike, "distinct-items")
+    alike = items.where(F.size("words") > 0).groupBy("words").agg(F.first("seeds").alias("seeds"), F.first("places").alias("places"))
+    alike = materialize(alike.withColumn("item", F.monotonically_increasing_id()), "distinct-items")
     of_items = alike.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item", F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_place"))
     packed = spark.sparkContext.broadcast(np.packbits(_bitmap(of_items)).tobytes())
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
@@ -190,7 +217,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that no item overlaps, with the columns that docs has."""
+    """The rows of docs that no item overlaps, with the columns that docs has, whatever they are called.
+
+    Null and wordless texts stay, repeated rows go or stay alike, of several texts of one doc_id only
+    those that an item overlaps go, and an empty benchmark or table changes nothing.
+    """
     names, safe = docs.columns, sheltered(docs)
     own_id, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
     found = overlaps(safe.select(F.col(own_id).alias("doc_id"), F.col(text).alias("text")), benchmark).select("doc_id", "text_key").distinct()

@@ -10,7 +10,8 @@ are dealt to blocks by a hash. A block sends each shard, a range of 64-bit n-gra
 sorted n-grams and counts in compressed form; the shard adds up what blocks have in common and
 answers each block for the n-grams that it shares with others, the rest being known to the block
 already. Then the block scores its documents. A frequent n-gram is one entry of a block like any
-other, so no shard gets more than its range of every block.
+other, so no shard gets more than its range of every block. Nothing is sent for an empty range, so
+messages are never more than the n-grams that blocks have.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ BLOCK_BYTES = 4_000_000
 CONTEXT, EACH = 4.0, 0.1
 
 _PACKED = "block int, shard int, payload binary"
+_ANSWER = f"{_PACKED}, n_words long, n_tokens long, n_target long"
 
 
 class Block(NamedTuple):
@@ -128,7 +130,7 @@ def _send(shards: int):
 
 
 def _add_up(rows: pa.Table) -> pa.Table:
-    """Answers each block of a shard, and tells the number of words and tokens as block -1."""
+    """Answers each block of a shard, and tells the shard's number of words and tokens beside the first answer."""
     blocks = rows.column("block").to_pylist()
     parts = [_unpack(x.as_py()) for x in rows.column("payload")]
     keys = np.concatenate([np.cumsum(p[0]) for p in parts])
@@ -149,9 +151,10 @@ def _add_up(rows: pa.Table) -> pa.Table:
         payloads.append(_pack(np.diff(common, prepend=0), sums[0][own[common]], sums[1][own[common]]))
         at += size
     give_back()
-    total = _pack(np.array([words.sum(), sums[0][words].sum(), sums[1][words].sum()]))
+    totals = [pa.array([int(total), *[0] * (len(blocks) - 1)], pa.int64()) for total in (words.sum(), sums[0][words].sum(), sums[1][words].sum())]
     return pa.table(
-        [pa.array([*blocks, -1], pa.int32()), pa.array([shard] * (len(blocks) + 1), pa.int32()), pa.array([*payloads, total], pa.binary())], names=["block", "shard", "payload"]
+        [pa.array(blocks, pa.int32()), pa.array([shard] * len(blocks), pa.int32()), pa.array(payloads, pa.binary()), *totals],
+        names=["block", "shard", "payload", "n_words", "n_tokens", "n_target"],
     )
 
 
@@ -196,27 +199,28 @@ def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, block_bytes: i
     trusted has the doc_ids of target documents. Tokens are words between white space, in lower
     case where ASCII has it; losses are means over tokens, in nats. A null or empty text has no
     token, and null losses. Repeated rows count and are answered each; a null doc_id is never
-    trusted; trusted ids that are null, repeated or unknown change nothing. Without target documents
-    every word is equally likely to the target model. Other columns are not read.
+    trusted, all texts of a trusted doc_id are; trusted ids that are null, repeated or unknown change
+    nothing. Without target documents every word is equally likely to the target model. A very long
+    text is scored whole, an empty table gives an empty result, and other columns are not read.
+    Documents are dealt by doc_id and text, so only rows alike in both meet in one block for certain.
     """
     blocks = max(1, -(-total_chars(docs) // block_bytes))
     shards = blocks
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    alone = F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    source = source.withColumn("block", F.when(F.col("doc_id").isNull(), alone).otherwise(deal))
-    chosen = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
-    chosen = chosen.select(F.col("doc_id").alias("trusted"), deal.alias("block"))
+    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    source = source.withColumn("block", deal)
+    ids = trusted.select(F.col("doc_id").cast("long").alias("trusted")).where("trusted is not null").distinct()
+    # A doc_id with several texts is trusted in the block of each.
+    places = source.select(F.col("doc_id").alias("of"), F.col("block").alias("at"))
+    chosen = materialize(places.join(ids, F.col("of") == F.col("trusted")).select("trusted", F.col("at").alias("block")).distinct(), "trusted")
     grouped = source.groupBy("block")
     sent = grouped.cogroup(chosen.groupBy("block")).applyInArrow(_send(shards), _PACKED)
-    answers = materialize(sent.groupBy("shard").applyInArrow(_add_up, _PACKED), "answers")
-    sums = np.zeros(3)
-    for row in answers.where("block < 0").select("payload").collect():  # one row of three numbers for each shard
-        sums += _unpack(row.payload)[0].astype(float)
+    answers = materialize(sent.groupBy("shard").applyInArrow(_add_up, _ANSWER), "answers")
+    sums = [float(x or 0) for x in answers.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_target")).first()]
     lists = chosen.groupBy("block").agg(F.collect_list("trusted").alias("trusted")).select("block", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("payload"), "trusted")
-    back = answers.where("block >= 0").withColumn("trusted", F.lit(None).cast("array<long>")).unionByName(lists)
+    back = answers.select("block", "shard", "payload").withColumn("trusted", F.lit(None).cast("array<long>")).unionByName(lists)
     scored = grouped.cogroup(back.groupBy("block")).applyInArrow(
-        _score(shards, float(sums[0]), (float(sums[1]), float(sums[2]))), "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
+        _score(shards, sums[0], (sums[1], sums[2])), "doc_id long, n_tokens long, target_loss double, background_loss double, difference double"
     )
     return scored
 
