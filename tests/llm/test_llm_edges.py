@@ -85,6 +85,18 @@ def test_quality_thresholds_adapt(spark):
     assert not got.pop(500) and all(got.values())
 
 
+def test_quartiles_of_large_groups(spark):
+    """Sketches of more items than their base level, merged over sources: ranks within half a percent."""
+    pick = np.random.default_rng(1)
+    values = pick.gamma(2.0, 3.0, 60_000)
+    rows = spark.createDataFrame([("en", f"s{k % 4000}", False, float(v), float(v) / 9, float(v) / 7) for k, v in enumerate(values)], "lang string, source string, base_failed boolean, mean_word double, symbol_rate double, dup_line_rate double")
+    bounds = quality_rules.thresholds(rows, fence=0.0).where("of_source = 's1'").first()
+    for name, slack, own in (("mean_word", 0.5, values), ("symbol_rate", 0.1, values / 9), ("dup_line_rate", 0.25, values / 7)):
+        assert abs(np.mean(own <= bounds[f"high_{name}"] - slack) - 0.75) < 0.005
+    one = quality_rules.thresholds(rows.withColumn("source", F.lit("s")), fence=0.0).first()
+    assert abs(np.mean(values <= one["high_mean_word"] - 0.5) - 0.75) < 0.005
+
+
 def test_decontamination(spark, odd, none):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "not in any line"), (1, PASSAGE), (None, PASSAGE)], "item_id long, text string")
     got = sorted(((r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, items).collect()), key=str)

@@ -112,7 +112,10 @@ def quality(docs: DataFrame) -> DataFrame:
     """(doc_id, base measures, base_failed, ratios, kept) for each row of docs.
 
     A null or empty text has no words, so it fails the base rules. A null language or source is a
-    group of its own. Repeated rows are answered each; other columns are not read.
+    group of its own. Repeated rows and several texts of one doc_id are answered each, very long texts
+    whole; an empty table gives an empty result; other columns are not read. Quartiles are exact for
+    groups of up to SKETCH_K texts. Beyond that a sketch is random within its error (rank error under
+    0.1 %), so a rerun may give slightly other thresholds; within a run all rows meet the same ones.
     """
     ratios = rated(measured(docs.select("doc_id", "lang", "source", "text"), "text").drop("text"))
     ratios = materialize(ratios, "measures")
@@ -120,13 +123,18 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with the columns that docs has."""
+    """The rows of docs that quality() keeps, with the columns that docs has, whatever they are called.
+
+    Null, empty and wordless texts go, as they fail the base rules; repeated rows stay or go alike,
+    several texts of one doc_id each for itself; a null lang or source is a group of its own, and an
+    empty table stays empty. The rows are written once with their ratios, so whole texts, however
+    long, are measured once and not shuffled.
+    """
     names, safe = docs.columns, sheltered(docs)
     where = {name: f"c{names.index(name)}" for name in ("lang", "source", "text")}
     groups = [F.col(where[n]).alias(n) for n in ("lang", "source")]
-    bounds = thresholds(rated(measured(safe.select(*groups, F.col(where["text"]).alias("text")), "text").drop("text")))
-    rows = rated(measured(safe.select(*safe.columns, *groups), where["text"]))
-    return judged(rows, bounds).where("kept").select(*safe.columns).toDF(*names)
+    rows = materialize(rated(measured(safe.select(*safe.columns, *groups), where["text"])), "measures")
+    return judged(rows, thresholds(rows)).where("kept").select(*safe.columns).toDF(*names)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
