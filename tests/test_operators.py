@@ -235,3 +235,48 @@ def test_empty_tables(spark, no_sync, no_calls):
     assert locks.deadlocks(no_sync).count() == 0
     assert stack.call_stacks(no_calls, 5).count() == 0
     assert stats.critical_sections(no_sync).agg(F.count(F.lit(1))).first()[0] == 0
+
+
+TOP = (1 << 64) - 1
+
+
+def test_races_at_the_top_of_the_address_space(spark, no_sync, no_calls):
+    """Addresses of 2^63 and more are negative numbers in the tables; an end beyond the last one is cut."""
+    at = lambda a: a - (1 << 64) if a >= 1 << 63 else a
+    writes = access(spark, (100, 1, at(TOP - 7), 16), (100, 1, (1 << 63) - 4, 8), (100, 1, 0, 4))
+    reads = access(spark, (200, 2, at(TOP - 7), 4), (200, 2, at(1 << 63), 2), (200, 2, at(TOP - 1), 1), (200, 2, 5, 4))
+    got = {(r.first_address if "first_address" in r else r.address, r.overlap_address, r.overlap_size) for r in pairs.races(writes, reads, no_sync, no_calls).collect()}
+    assert {(a & TOP, o & TOP, n) for a, o, n in got} <= {(TOP - 7, TOP - 7, 4), (TOP - 7, TOP - 1, 1), ((1 << 63) - 4, 1 << 63, 2)} and len(got) == 2
+    text = " ".join(r.description for r in pairs.races(writes, reads, no_sync, no_calls).collect())
+    assert "0xFFFFFFFFFFFFFFF8" in text and "0x7FFFFFFFFFFFFFFC" in text and "conflict range 0x8000000000000000-0x8000000000000002" in text
+    flows = {(r.address & TOP, r.overlap_address & TOP, r.overlap_size) for r in pairs.data_flows(writes, reads, no_sync).collect()}
+    assert flows == {(TOP - 7, TOP - 7, 4), ((1 << 63) - 4, 1 << 63, 2)}
+
+
+def test_memory_at_both_ends(spark):
+    at = lambda a: a - (1 << 64) if a >= 1 << 63 else a
+    data = bytearray(range(1, 9))
+    rows = [(1, 0, 1, at(TOP - 7), data), (2, 1, 1, (1 << 63) - 4, data), (3, 2, 1, 0, data), (4, 3, 1, at((1 << 64) - 4096), data)]
+    writes = spark.createDataFrame(rows, "step long, ord long, thread_id int, address long, data binary")
+    value = lambda a, n, step=9: [r.value for r in asof.memory_at(writes, a, n, step).collect()]
+    assert value(TOP - 7, 8) == ["0102030405060708"] and value(TOP - 7, 8, 0) == [] and value((1 << 63) - 2, 4) == ["03040506"] and value(0, 4) == ["01020304"]
+    assert asof.memory_at(writes, TOP - 3, 4, 9).first().page_address & TOP == TOP - 4095 and asof.memory_at(writes, TOP - 3, 4, 9).first().deltas_applied == 2
+    page = asof.page_at(writes, (1 << 64) - 4096, 9).first()
+    assert page.value.startswith("0102030405060708") and page.value.endswith("0102030405060708") and page.page_address == -4096
+
+
+def test_address_ranges_over_the_sign(spark):
+    values = [0, 5, (1 << 63) - 1, 1 << 63, (1 << 63) + 5, TOP]
+    rows = spark.createDataFrame([(k, k, 1, v - (1 << 64) if v >= 1 << 63 else v) for k, v in enumerate(values)], "seq long, ord long, thread_id int, address long")
+    for low in (None, 5, 1 << 63):
+        for high in (None, (1 << 63) - 1, (1 << 63) + 5):
+            got = {r.address & TOP for r in lookups.find_instructions(rows, low=low, high=high).collect()}
+            assert got == {v for v in values if (low is None or v >= low) and (high is None or v <= high)}, (low, high)
+    assert lookups.find_instructions(rows, address=TOP).count() == lookups.steps_by_address(rows, 1 << 63).count() == 1
+    assert [r.address & TOP for r in stats.hot_paths(rows.withColumn("is_branch", F.lit(False))).collect()] == values
+
+
+def test_cycles_of_locks_at_the_top(spark):
+    edges = spark.createDataFrame([(-8, 16), (16, -8)], "held long, taken long")
+    for small in (10, 0):
+        assert [list(r.cycle) for r in locks.lock_cycles(edges, small).collect()] == [[16, -8]]

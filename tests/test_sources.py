@@ -176,3 +176,29 @@ def test_generator(spark):
     assert [made[k].count() for k in ("instructions", "register_deltas", "memory_writes")] == [224, 7, 3]
     assert made["instructions"].where("is_branch").count() == 7 and made["instructions"].select("thread_id").distinct().count() == 3
     assert [r.step for r in made["memory_writes"].orderBy("step").collect()] == [31, 127, 223]
+
+
+def test_addresses_of_64_bits(spark, tmp_path):
+    told = ['{"type":"inst","tid":7,"pc":"0xffffff8000001000"}', '{"type":"memwrite","tid":8,"addr":"18446744073709551615","value":"0xffffffffffffffff"}', '{"type":"inst","tid":7,"pc":"0x1000","seq":1234567890123456789}', '{"type":"inst","tid":7,"pc":"0x1004","seq":99999999999999999999}']
+    got = jsonl.read_hooks(lines.from_texts(spark, told), "stalker")
+    assert [(r["seq"], r["address"] % (1 << 64)) for r in collected(got, "instructions")] == [(0, 0xFFFFFF8000001000), (1234567890123456789, 0x1000), (1234567890123456790, 0x1004)]
+    assert [(r["address"], bytes(r["data"])) for r in collected(got, "memory_writes")] == [(-1, b"\xff" * 8)]
+    path = tmp_path / "trace.json"
+    whole = {"trace_id": 1, "memory_reads": [{"step": 1, "thread_id": 1, "address": (1 << 64) - 8, "size": 4}], "register_deltas": [{"seq": 1, "change_mask": 1, "values": [(1 << 64) - 1]}]}
+    path.write_text(json.dumps(whole))
+    tables = envelope.read_envelope(spark, str(path))
+    assert tables["memory_reads"].first().address == -8 and tables["register_deltas"].first()["values"] == [-1]
+    again = json.loads(envelope.to_envelope({n: tables[n] for n in ("memory_reads", "register_deltas")}, 1).toJSON().first())
+    assert again["memory_reads"][0]["address"] == (1 << 64) - 8 and again["register_deltas"][0]["values"] == [(1 << 64) - 1]
+
+
+def test_many_records_and_deep_messages(spark):
+    many = json.dumps({"type": "async", "payload": [{"tid": 5, "type": "J2N", "class": "A", "method": f"m{k}"} for k in range(700)]})
+    got = jsonl.read_hooks(lines.from_texts(spark, ["{broken", many, '{"type":"inst","tid":7,"pc":"0x1004"}']), "jnitrace")
+    assert [(r["seq"], r["java_method"]) for r in collected(got, "jni_calls")] == [(k, f"m{k}") for k in range(700)]
+    assert collected(got, "instructions")[0]["seq"] == 700 and got["skipped"].first().skipped == 1
+    message = {"event": "instruction", "tid": 3, "address": "0x40"}
+    for _ in range(9):
+        message = {"type": "send", "payload": message}
+    got = jsonl.read_emulator(lines.from_texts(spark, [json.dumps(message), '{"event":"instruction","tid":3,"address":"0x44"}']))
+    assert [r["address"] for r in collected(got, "instructions")] == [0x40, 0x44]

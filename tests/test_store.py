@@ -26,6 +26,9 @@ def test_traces(spark, tmp_path):
     assert [r.seq for r in rows] == [1, 2, 3, 3, 5] and lookups.instruction_at(store.load(one)["instructions"], 3).first().ord >= 1 << 48
     assert [r.step for r in store.replay(one).collect()] == [1, 2, 3, 3, 5]
     assert store.summary(one).first().event_count == 5
+    before = [tuple(r) for r in store.replay(one).collect()]
+    store.compact(one)
+    assert [tuple(r) for r in store.replay(one).collect()] == before and store.summary(one).first().event_count == 5
     store.save(events(spark, 4), trace_id=one)
     assert [r.seq for r in store.load(one)["instructions"].collect()] == [4]
     store.delete(two)
@@ -91,6 +94,25 @@ def test_ingest(spark, tmp_path):
     assert bad.status().error
 
 
+def test_ingest_counts_beyond_what_progress_keeps(spark, tmp_path):
+    """More batches than a query remembers, lines that are no event, and a second run that goes on counting."""
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    keep = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        for k in range(5):
+            (inbox / f"{k}.jsonl").write_text(line("memory_reads", step=k, thread_id=1, address=9, size=4) + "\nnot json\n" * (k == 1))
+        status = ingest.TraceIngest(spark, str(inbox), root, files_per_batch=1).drain()
+        assert (status.accepted, status.durable, status.malformed, status.queued, status.in_flight) == (5, 5, 1, 0, False)
+        (inbox / "9.jsonl").write_text(line("memory_reads", step=9, thread_id=1, address=9, size=4))
+        assert ingest.TraceIngest(spark, str(inbox), root).drain().durable == 6
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", keep)
+    rows = ingest.load(spark, root)["memory_reads"].collect()
+    assert sorted(r.step for r in rows) == [0, 1, 2, 3, 4, 9] and len({r.ord for r in rows}) == 6
+
+
 def test_continuous_ingest(spark, tmp_path):
     inbox, root = tmp_path / "in", str(tmp_path / "out")
     inbox.mkdir()

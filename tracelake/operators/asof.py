@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import end_of, ordered, signed
 from ..schemas import PAGE, REGISTERS, STEP
 from .kernels import asof_last
-from .lookups import between, instruction_at, writes_at
+from .lookups import addresses_between, between, instruction_at, writes_at
 
 
 def register_writes(deltas: DataFrame) -> DataFrame:
@@ -16,8 +17,8 @@ def register_writes(deltas: DataFrame) -> DataFrame:
     Values follow the set bits in ascending order; a register whose value is missing at the end of
     the list has a null value, which still hides earlier ones.
     """
-    bits = deltas.select("seq", "ord", "change_mask", "values", F.explode(F.sequence(F.lit(0), F.lit(REGISTERS - 1))).alias("register_id"))
-    return bits.where("getbit(change_mask, register_id) = 1").selectExpr(
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda r: F.getbit("change_mask", r) == 1)
+    return deltas.select("seq", "ord", "change_mask", "values", F.explode(set_bits).alias("register_id")).selectExpr(
         "seq", "ord", "register_id", "try_element_at(values, cast(bit_count(change_mask & (shiftleft(1L, register_id) - 1)) as int) + 1) as value"
     )
 
@@ -56,23 +57,26 @@ def memory_at(writes: DataFrame, address: int, size: int, step: int) -> DataFram
     Bytes not written by then are 00. No row if the first page had no write at all by then.
     deltas_applied counts each write once for each page of the answer that it touches.
     """
-    first, last = address - address % PAGE, (address + size - 1) - (address + size - 1) % PAGE
-    end = F.col("address") + F.octet_length("data")
-    rows = writes.where((F.col("step") <= step) & (F.col("address") < last + PAGE) & (end > first) & (F.octet_length("data") > 0))
+    at, base = ordered(F.col("address")), address - (1 << 63)  # from here on in order as signed numbers
+    first, last = base - base % PAGE, (base + size - 1) - (base + size - 1) % PAGE
+    near = addresses_between(writes, "address", None, last + (1 << 63) + PAGE - 1)
+    rows = near.where((F.col("step") <= step) & (F.octet_length("data") > 0)).select("step", "ord", at.alias("address"), "data")
+    rows = rows.withColumn("end", end_of(F.col("address"), F.octet_length("data") - 1))
+    rows = rows.where((F.col("address") <= last + PAGE - 1) & (F.col("end") >= first))
     touched = rows.select(
-        "step", "ord", "address", "data", F.greatest(F.lit(first), F.col("address") - F.pmod("address", F.lit(PAGE))).alias("low"), F.least(F.lit(last), end - 1 - F.pmod(end - 1, F.lit(PAGE))).alias("high")
+        "step", "ord", "address", "data", "end", F.greatest(F.lit(first), F.col("address") - F.pmod("address", F.lit(PAGE))).alias("low"), F.least(F.lit(last), F.col("end") - F.pmod("end", F.lit(PAGE))).alias("high")
     )
     pages = touched.agg(F.sum(F.expr(f"(high - low) div {PAGE} + 1")).alias("deltas_applied"), F.bool_or(F.col("low") == first).alias("known"))
-    at = F.col("address") + F.col("i")
-    bytes_ = touched.where((F.col("address") < address + size) & (end > address)).select(
+    place = F.col("address") + F.col("i")
+    bytes_ = touched.where((F.col("address") <= base + size - 1) & (F.col("end") >= base)).select(
         "step", "ord", "address", F.hex("data").alias("digits"),
-        F.explode(F.sequence(F.greatest(F.lit(0), F.lit(address) - F.col("address")), F.least(F.octet_length("data") - 1, F.lit(address + size - 1) - F.col("address")))).alias("i"),
+        F.explode(F.sequence(F.greatest(F.lit(0), F.lit(base) - F.col("address")), F.least(F.col("end"), F.lit(base + size - 1)) - F.col("address"))).alias("i"),
     )
-    last_bytes = bytes_.groupBy(at.alias("at")).agg(F.max_by(F.substring("digits", F.col("i").cast("int") * 2 + 1, F.lit(2)), F.struct("step", "ord")).alias("byte"))
+    last_bytes = bytes_.groupBy(place.alias("at")).agg(F.max_by(F.substring("digits", F.col("i").cast("int") * 2 + 1, F.lit(2)), F.struct("step", "ord")).alias("byte"))
     known = last_bytes.agg(F.map_from_entries(F.collect_list(F.struct("at", "byte"))).alias("bytes"))
-    digits = F.transform(F.sequence(F.lit(address), F.lit(address + size - 1)), lambda a: F.coalesce(F.try_element_at("bytes", a.cast(last_bytes.schema["at"].dataType)), F.lit("00")))
+    digits = F.transform(F.sequence(F.lit(base), F.lit(base + size - 1)), lambda a: F.coalesce(F.try_element_at("bytes", a.cast(last_bytes.schema["at"].dataType)), F.lit("00")))
     return known.join(F.broadcast(pages.where("known"))).select(
-        F.lit(address).cast("long").alias("address"), F.lit(first).cast("long").alias("page_address"), F.lower(F.array_join(digits, "")).alias("value"), "deltas_applied"
+        F.lit(signed(address)).cast("long").alias("address"), F.lit(signed(address - address % PAGE)).cast("long").alias("page_address"), F.lower(F.array_join(digits, "")).alias("value"), "deltas_applied"
     )
 
 
@@ -82,7 +86,7 @@ def page_at(writes: DataFrame, page: int, step: int) -> DataFrame:
         value = writes.sparkSession.range(1).select(F.lit(None).cast("string").alias("value"))
     else:
         value = writes.sparkSession.range(1).join(F.broadcast(memory_at(writes, page, PAGE, step).select("value")), how="left").select("value")
-    return value.select(F.lit(page).cast("long").alias("page_address"), F.coalesce("value", F.lit("00" * PAGE)).alias("value"))
+    return value.select(F.lit(signed(page)).cast("long").alias("page_address"), F.coalesce("value", F.lit("00" * PAGE)).alias("value"))
 
 
 def step_snapshot(instructions: DataFrame, registers: DataFrame, writes: DataFrame, step: int) -> DataFrame:
@@ -159,7 +163,7 @@ def find_timeline(
     steps: DataFrame, calls: DataFrame | None = None, start: int | None = None, end: int | None = None, thread_id: int | None = None, low: int | None = None, high: int | None = None, func_id: int | None = None, limit: int | None = None
 ) -> DataFrame:
     """(step, total_count, has_more): steps that meet every condition in order, cut at limit after counting."""
-    rows = between(between(steps, "step", start, end), "instruction_address", low, high)
+    rows = addresses_between(between(steps, "step", start, end), "instruction_address", low, high)
     if thread_id is not None:
         rows = rows.where(F.col("thread_id") == thread_id)
     if func_id is not None:

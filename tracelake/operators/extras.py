@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import end_of, ordered, signed
 from .asof import function_names
 from .lookups import between
 
 
 def callers(calls: DataFrame, callee: int) -> DataFrame:
     """(caller_address, call_count, first_step): call sites of a function; returns do not count."""
-    rows = calls.where((F.col("callee_address") == callee) & (F.col("event_type") != "Return"))
+    rows = calls.where((F.col("callee_address") == signed(callee)) & (F.col("event_type") != "Return"))
     return rows.groupBy("caller_address").agg(F.count(F.lit(1)).alias("call_count"), F.min("seq").alias("first_step"))
 
 
@@ -24,7 +25,8 @@ def call_graph(calls: DataFrame, functions: DataFrame) -> DataFrame:
 def memory_history(writes: DataFrame, address: int, size: int = 1, start: int | None = None, end: int | None = None) -> DataFrame:
     """Writes that touch a range of bytes, in a range of steps."""
     own = F.col("size") if "size" in writes.columns else F.octet_length("data")
-    return between(writes.where((F.col("address") < address + size) & (F.col("address") + own > address)), "step", start, end)
+    at, low = ordered(F.col("address")), address - (1 << 63)
+    return between(writes.where((at < low + size) & (end_of(at, own) > low)), "step", start, end)
 
 
 def memory_accessors(writes: DataFrame, reads: DataFrame, address: int, size: int = 1) -> DataFrame:
@@ -41,7 +43,7 @@ def jni_by_method(jni: DataFrame, java_class: str, java_method: str | None = Non
 
 def jni_callers(jni: DataFrame, native_address: int) -> DataFrame:
     """(thread_id, java_class, java_method, n): who crosses to a native address."""
-    rows = jni.where((F.col("native_address") == native_address) & (F.col("direction") == "JavaToNative"))
+    rows = jni.where((F.col("native_address") == signed(native_address)) & (F.col("direction") == "JavaToNative"))
     return rows.groupBy("thread_id", "java_class", "java_method").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ordered
 from ..schemas import ACQUIRES, SHARED_ACQUIRES
 from .kernels import hold_intervals
 
@@ -69,22 +72,25 @@ def lock_cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
     any other is left to a recursive query, with the same result.
     """
     spark = edges.sparkSession
-    pairs = edges.select("held", "taken").distinct()
+    # Locks in order as unsigned numbers, and back at the end.
+    pairs = edges.select(ordered(F.col("held")).alias("held"), ordered(F.col("taken")).alias("taken")).distinct()
     few = pairs.limit(small + 1).collect()
     found = _walk([(r.held, r.taken) for r in few], 10 * small) if len(few) <= small else None
+    back = lambda cycles: cycles.select(F.transform("cycle", ordered).alias("cycle"))
     if found is not None:
-        return spark.createDataFrame([(c,) for c in found], "cycle array<long>")
-    pairs.createOrReplaceTempView("tracelake_lock_order")
-    return spark.sql(
+        return back(spark.createDataFrame([(c,) for c in found], "cycle array<long>"))
+    name = f"tracelake_lock_order_{uuid.uuid4().hex}"
+    pairs.createOrReplaceTempView(name)
+    return back(spark.sql(
         f"""
         WITH RECURSIVE paths(start, last, path) MAX RECURSION LEVEL {LONGEST_CYCLE} AS (
-          SELECT held, taken, array(held, taken) FROM tracelake_lock_order WHERE taken > held
+          SELECT held, taken, array(held, taken) FROM {name} WHERE taken > held
           UNION ALL
-          SELECT p.start, e.taken, array_append(p.path, e.taken) FROM paths p JOIN tracelake_lock_order e ON e.held = p.last
+          SELECT p.start, e.taken, array_append(p.path, e.taken) FROM paths p JOIN {name} e ON e.held = p.last
           WHERE e.taken > p.start AND NOT array_contains(p.path, e.taken)
         )
-        SELECT p.path AS cycle FROM paths p JOIN tracelake_lock_order e ON e.held = p.last AND e.taken = p.start"""
-    )
+        SELECT p.path AS cycle FROM paths p JOIN {name} e ON e.held = p.last AND e.taken = p.start"""
+    ))
 
 
 def deadlocks(sync: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import end_of, ordered
 from .asof import active_function
 
 GRAIN = 16
@@ -29,17 +30,26 @@ def accesses(rows: DataFrame) -> DataFrame:
     )
 
 
+def _start(x: str) -> Column:
+    return ordered(F.col(f"{x}_address"))
+
+
+def _end(x: str) -> Column:
+    """Behind an access's last byte, cut at the largest address."""
+    return end_of(_start(x), F.col(f"{x}_size"))
+
+
 def _grained(rows: DataFrame, prefix: str) -> DataFrame:
     """rows with columns prefixed, one for each grain that an access touches; one of size 0 has its own address's."""
-    first = F.expr(f"address div {GRAIN}")
-    last = F.expr(f"(address + greatest(size, 1) - 1) div {GRAIN}")
-    return rows.select(*(F.col(c).alias(f"{prefix}_{c}") for c in rows.columns), first.alias(f"{prefix}_first"), F.explode(F.sequence(first, last)).alias("grain"))
+    start = ordered(F.col("address"))
+    last = F.greatest(start, end_of(start, F.greatest("size", F.lit(1))) - 1)
+    grain = lambda at: F.shiftright(at, GRAIN.bit_length() - 1)
+    return rows.select(*(F.col(c).alias(f"{prefix}_{c}") for c in rows.columns), grain(start).alias(f"{prefix}_first"), F.explode(F.sequence(grain(start), grain(last))).alias("grain"))
 
 
 def _overlap(a: str, b: str) -> Column:
-    end = lambda x: F.col(f"{x}_address") + F.col(f"{x}_size")
     once = F.col("grain") == F.greatest(f"{a}_first", f"{b}_first")
-    return once & (F.col(f"{a}_address") < end(b)) & (F.col(f"{b}_address") < end(a))
+    return once & (_start(a) < _end(b)) & (_start(b) < _end(a))
 
 
 def overlapping(left: DataFrame, right: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -81,21 +91,26 @@ def has_sync(probes: DataFrame, sync: DataFrame) -> DataFrame:
     return first_sync(probes, sync).withColumn("has_sync", F.coalesce(F.col("first_sync") <= F.col("until"), F.lit(False))).drop("first_sync")
 
 
-def _bounded(first: DataFrame, second: DataFrame, sync: DataFrame) -> DataFrame:
-    """Overlapping pairs (f_, s_) by different threads where the second access is before any synchronisation from the first on.
+def _conflicts(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFrame:
+    """Overlapping pairs (f_, s_) by different threads, one a write, the second before any synchronisation from the first on.
 
-    For every first access and every other thread that accesses one of its grains the bound is
-    found, and the join is on grain and thread with a range of steps behind it.
+    A read at a write's step is second, of two writes at one step the higher thread's. For every
+    first access and every other thread that accesses one of its grains the bound is found, and one
+    join on grain and thread with a range of steps behind it finds all kinds of pairs.
     """
-    firsts, seconds = _grained(first, "f"), _grained(second, "s")
-    present = seconds.select("grain", F.col("s_thread_id").alias("other")).distinct()
-    met = firsts.join(present, "grain").where("f_thread_id <> other")
+    both = accesses(writes).withColumn("write", F.lit(True)).unionByName(accesses(reads).withColumn("write", F.lit(False)))
+    firsts, seconds = _grained(both, "f"), _grained(both, "s")
+    present = seconds.groupBy("grain", F.col("s_thread_id").alias("other")).agg(F.bool_or("s_write").alias("writes"))
+    met = firsts.join(present, "grain").where("f_thread_id <> other and (f_write or writes)").drop("writes")
     asked = met.select(F.col("f_step").alias("step"), F.col("f_thread_id").alias("thread_id"), "other").distinct()
     bound = first_sync(asked, sync).select(F.col("step").alias("p_step"), F.col("thread_id").alias("p_thread"), F.col("other").alias("p_other"), F.coalesce("first_sync", F.lit(NEVER)).alias("bound"))
     met = met.join(bound, (F.col("f_step") == F.col("p_step")) & (F.col("f_thread_id") == F.col("p_thread")) & (F.col("other") == F.col("p_other"))).drop("p_step", "p_thread", "p_other")
     pairs = met.join(seconds.withColumnRenamed("s_thread_id", "other_thread").withColumnRenamed("grain", "s_grain"), (F.col("grain") == F.col("s_grain")) & (F.col("other") == F.col("other_thread")))
     pairs = pairs.withColumn("s_thread_id", F.col("other"))
-    return pairs.where(_overlap("f", "s") & (F.col("s_step") >= F.col("f_step")) & (F.col("s_step") < F.col("bound"))).drop("grain", "s_grain", "f_first", "s_first", "other", "other_thread", "bound")
+    at_once = F.col("f_write") & (~F.col("s_write") | (F.col("f_thread_id") < F.col("s_thread_id")))
+    later = (F.col("s_step") > F.col("f_step")) | ((F.col("s_step") == F.col("f_step")) & at_once)
+    found = pairs.where(_overlap("f", "s") & (F.col("f_write") | F.col("s_write")) & later & (F.col("s_step") < F.col("bound")))
+    return found.drop("grain", "s_grain", "f_first", "s_first", "other", "other_thread", "bound")
 
 
 def races(writes: DataFrame, reads: DataFrame, sync: DataFrame, calls: DataFrame) -> DataFrame:
@@ -108,35 +123,31 @@ def races(writes: DataFrame, reads: DataFrame, sync: DataFrame, calls: DataFrame
     below 100 steps or 0.15 below 1000, plus 0.2 if both threads were in the same function then; at
     most 1, and times 0.8 between writes.
     """
-    w, r = accesses(writes), accesses(reads)
-    kind = lambda first, second: [F.lit(first).alias("first_is_write"), F.lit(second).alias("second_is_write")]
-    wr = _bounded(w, r, sync).select("*", *kind(True, False)).withColumn("kind", F.lit(0))
-    ww = _bounded(w, w, sync).where("s_step > f_step or f_thread_id < s_thread_id").select("*", *kind(True, True)).withColumn("kind", F.lit(1))
-    rw = _bounded(r, w, sync).where("s_step > f_step").select("*", *kind(False, True)).withColumn("kind", F.lit(2))
-    pairs = wr.unionByName(ww).unionByName(rw)
+    pairs = _conflicts(writes, reads, sync).withColumnsRenamed({"f_write": "first_is_write", "s_write": "second_is_write"})
+    pairs = pairs.withColumn("kind", F.when(~F.col("second_is_write"), 0).when(F.col("first_is_write"), 1).otherwise(2))
     pairs = _with_functions(pairs, calls)
     gap = F.col("s_step") - F.col("f_step")
     base = F.lit(0.5) + F.when(gap < 100, 0.3).when(gap < 1000, 0.15).otherwise(0.0)
     base = base + F.when(F.col("f_function") == F.col("s_function"), 0.2).otherwise(0.0)
     sure = F.least(base, F.lit(1.0)) * F.when(F.col("kind") == 1, 0.8).otherwise(1.0)
-    low = F.greatest("f_address", "s_address")
-    high = F.least(F.col("f_address") + F.col("f_size"), F.col("s_address") + F.col("s_size"))
+    low, high = F.greatest(_start("f"), _start("s")), F.least(_end("f"), _end("s"))
     rows = pairs.select(
         F.when(F.col("kind") == 2, F.col("s_address")).otherwise(F.col("f_address")).alias("address"), F.col("f_step").alias("first_step"), F.col("f_thread_id").alias("first_thread"), "first_is_write",
         F.col("f_size").alias("first_size"), F.col("s_step").alias("second_step"), F.col("s_thread_id").alias("second_thread"), "second_is_write", F.col("s_size").alias("second_size"),
-        low.alias("overlap_address"), (high - low).alias("overlap_size"), sure.alias("confidence"), F.col("f_address").alias("first_address"), F.col("s_address").alias("second_address"), "kind",
+        ordered(low).alias("overlap_address"), (high - low).alias("overlap_size"), sure.alias("confidence"), F.col("f_address").alias("first_address"), F.col("s_address").alias("second_address"), "kind",
     )
     key = ["address", "first_step", "first_thread", "second_step", "second_thread"]
     rest = [c for c in rows.columns if c not in (*key, "confidence")]
     # The most confident, then the kinds in their order, then the first that arrived.
-    best = F.struct("confidence", (-F.col("kind")).alias("k"), (-F.col("first_address")).alias("fa"), (-F.col("second_address")).alias("sa"))
+    best = F.struct("confidence", (-F.col("kind")).alias("k"), F.bitwise_not(ordered(F.col("first_address"))).alias("fa"), F.bitwise_not(ordered(F.col("second_address"))).alias("sa"))
     one = rows.groupBy(*key).agg(F.max_by(F.struct("confidence", *rest), best).alias("b")).select(*key, "b.*")
     verb = lambda c: F.when(F.col(c), "wrote").otherwise("read")
     hexed = lambda c: F.concat(F.lit("0x"), F.hex(c))
+    # Fixed value: the wording of a finding.
     text = F.format_string(
         "Thread %d %s %d bytes at %s (step %d), then thread %d %s %d bytes at %s (step %d) without synchronization; conflict range %s-%s (%d bytes)",
         "first_thread", verb("first_is_write"), "first_size", hexed(F.col("first_address")), "first_step", "second_thread", verb("second_is_write"), "second_size", hexed(F.col("second_address")), "second_step",
-        hexed(F.col("overlap_address")), hexed(F.col("overlap_address") + F.col("overlap_size")), "overlap_size",
+        hexed(F.col("overlap_address")), hexed(ordered(ordered(F.col("overlap_address")) + F.col("overlap_size"))), "overlap_size",
     )
     return one.withColumn("description", text).drop("kind", "first_address", "second_address")
 
@@ -161,9 +172,9 @@ def data_flows(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFram
         F.min(F.struct("w_ord", "r_step", "r_ord", "r_address", "r_size", "w_size")).alias("b")
     )
     rows = first.select("from_thread", "to_thread", "address", "write_step", F.col("b.r_step").alias("read_step"), F.col("b.w_size").alias("write_size"), F.col("b.r_size").alias("read_size"), F.col("b.r_address").alias("read_address"))
-    low = F.greatest("address", "read_address")
-    high = F.least(F.col("address") + F.col("write_size"), F.col("read_address") + F.col("read_size"))
-    rows = rows.withColumns({"overlap_address": low, "overlap_size": high - low}).drop("read_address")
+    start, begin = ordered(F.col("address")), ordered(F.col("read_address"))
+    low, high = F.greatest(start, begin), F.least(end_of(start, F.col("write_size")), end_of(begin, F.col("read_size")))
+    rows = rows.withColumns({"overlap_address": ordered(low), "overlap_size": high - low}).drop("read_address")
     asked = rows.withColumnRenamed("from_thread", "thread_id").withColumnRenamed("to_thread", "other").withColumnRenamed("write_step", "step").withColumnRenamed("read_step", "until")
     done = has_sync(asked, sync)
     return done.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ordered
 from ..schemas import ACQUIRES, INVOLUNTARY, RELEASES, VOLUNTARY, WAITING_STATES, is_contended, primitive_kind
 from .asof import active_function, function_names
 from .kernels import hold_intervals
@@ -22,7 +23,7 @@ def hot_paths(instructions: DataFrame, top: int | None = None) -> DataFrame:
     """
     each = instructions.groupBy("address", "thread_id").agg(F.count(F.lit(1)).alias("hits"), F.bool_or("is_branch").alias("branch"))
     rows = each.groupBy("address").agg(F.sum("hits").alias("hit_count"), F.sort_array(F.collect_list("thread_id")).alias("thread_ids"), F.bool_or("branch").alias("is_branch"))
-    rows = rows.orderBy(F.desc("hit_count"), "address")
+    rows = rows.orderBy(F.desc("hit_count"), ordered(F.col("address")))
     return rows if top is None else rows.limit(top)
 
 

@@ -2,8 +2,9 @@
 
 A trace is one table for each kind of event. Steps are a caller's clock: neither unique nor in
 order, so `ord`, the arrival ordinal, breaks ties and (step, ord) is the total order. Addresses
-are BIGINT, and a larger unsigned one makes the loader raise an error; register values and masks
-keep their 64 bits as signed numbers.
+are unsigned 64-bit numbers; they, register values and masks are BIGINT columns of the same 64
+bits, so one of 2^63 or more is negative there. Operators compare them as unsigned, take them as
+unsigned arguments, and scalars.unsigned() shows them so.
 """
 
 from __future__ import annotations
@@ -36,6 +37,11 @@ JNI_CALLS = (
 )
 FUNCTIONS = "ord BIGINT, offset BIGINT, size BIGINT, name STRING"
 
+#: Columns that hold 64 unsigned bits.
+UNSIGNED = {
+    "address", "caller_address", "callee_address", "sync_object_addr", "native_address", "jni_env_address", "stack_base", "stack_size", "tls_addr", "pthread_id", "change_mask", "offset",
+}
+
 #: Event tables in the order in which an envelope's arrays arrive.
 TABLES = {
     "threads": THREADS,

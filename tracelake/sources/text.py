@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import little_endian, parse_addr, to_so_offset
-from .jsonl import _signed, _small, _table
+from ..functions.scalars import little_endian, parse_addr, to_so_offset, wrapped
+from .jsonl import _small, _table
 from .lines import announced, counted, once, without_comments
 
 # What marks a branch, a read and a write.
@@ -172,7 +172,7 @@ def read_emulator_text(lines: DataFrame, base: int = 0) -> dict[str, DataFrame]:
     rows = _all_once(rows, tid=tid, kind=kind, at=digits("at"), size=F.coalesce(size, F.lit(1)).cast("long"), value=digits("data value"), pairs=pairs, pc=pc, code=code)
     rows = _numbered(rows.where("kind is not null"))
     width = F.least("size", F.lit(8))
-    data = F.when(F.col("value").isNotNull(), little_endian(_signed(F.col("value")), width)).otherwise(F.unhex(F.repeat(F.lit("00"), F.col("size").cast("int"))))
+    data = F.when(F.col("value").isNotNull(), little_endian(wrapped(F.col("value")), width)).otherwise(F.unhex(F.repeat(F.lit("00"), F.col("size").cast("int"))))
     mnemonic = F.lower(F.regexp_extract("code", r"^\S+", 0))
     tables = {
         "instructions": _table("INSTRUCTIONS", rows.where("kind = 'instruction'"), seq=F.col("seq"), thread_id=F.col("tid"), address=to_so_offset(F.col("pc"), base), is_branch=mnemonic.startswith("b") | (mnemonic == "ret"), branch_taken=F.lit(False)),

@@ -1,9 +1,11 @@
 """A catalogue of traces and binaries on Parquet.
 
-A trace's events lie below events/<kind>/trace_id=N/<version>, in step order. A version's files are
-written first; then one row in the catalogue names the versions that make up the trace. Readers
+A trace's events lie below events/<kind>/trace_id=N/<version>. Each file is in step order, so files
+overlap in steps only as far as the source's splits do, and a trace that comes in order is stored in
+order without a shuffle; compact() rewrites any other. A version's files are written first; then one row in the catalogue names the versions that make up the trace. Readers
 take the last row of a trace, so a failed write is never seen and rewriting is safe. Appending
-adds a version and leaves the others as they are.
+adds a version and leaves the others as they are. Ids and serials follow the last ones in the
+catalogue without a lock: a catalogue has one writer at a time.
 """
 
 from __future__ import annotations
@@ -70,8 +72,8 @@ class TraceStore:
 
     # -- events ---------------------------------------------------------------------------
 
-    def _write(self, trace_id: int, tables: dict[str, DataFrame]) -> tuple[str, int]:
-        """Writes the tables at once, each in ranges of steps that the planner sizes, and counts what was written."""
+    def _write(self, trace_id: int, tables: dict[str, DataFrame], ranged: bool = False) -> tuple[str, int]:
+        """Writes the tables at once and counts what was written; ranged: in ranges of steps that the planner sizes."""
         version = uuid.uuid4().hex
         if unknown := set(tables) - set(schemas.TABLES):
             raise KeyError(f"no event tables {sorted(unknown)}")
@@ -79,7 +81,8 @@ class TraceStore:
         def write(kind: str) -> int:
             step = schemas.STEP.get(kind, "step")
             path = f"{self.root}/events/{kind}/trace_id={trace_id}/{version}"
-            tables[kind].repartitionByRange(step, "ord").sortWithinPartitions(step, "ord").write.option("compression", "zstd").parquet(path)
+            rows = tables[kind].repartitionByRange(step, "ord") if ranged else tables[kind]
+            rows.sortWithinPartitions(step, "ord").write.option("compression", "zstd").parquet(path)
             return self.spark.read.schema(tables[kind].schema).parquet(path).count()  # from the files' footers
 
         with ThreadPoolExecutor(max(1, len(tables))) as pool:
@@ -121,6 +124,12 @@ class TraceStore:
             out[kind] = rows
         return out
 
+    def compact(self, trace_id: int) -> None:
+        """Rewrites a trace as one version in ranges of steps; rows stay as they are."""
+        old = self._entry(trace_id)
+        version, total = self._write(trace_id, {k: t for k, t in self.load(trace_id).items() if not t.isEmpty()}, ranged=True)
+        self._publish(trace_id, so_file_id=old.so_file_id, source=old.source, base_addr=old.base_addr, event_count=total, versions=[version])
+
     def replay(self, trace_id: int) -> DataFrame:
         """(step, kind, ord, event): all events in step order, as JSON text, by kind and arrival within a step."""
         out = None
