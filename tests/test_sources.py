@@ -2,6 +2,7 @@ import json
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import hex_text, little_endian, page_align, page_offset, parse_addr, to_so_offset
 from tracelake.sources import elf, envelope, generator, jsonl, lines, text
@@ -202,3 +203,16 @@ def test_many_records_and_deep_messages(spark):
         message = {"type": "send", "payload": message}
     got = jsonl.read_emulator(lines.from_texts(spark, [json.dumps(message), '{"event":"instruction","tid":3,"address":"0x44"}']))
     assert [r["address"] for r in collected(got, "instructions")] == [0x40, 0x44]
+
+
+def test_lines_of_several_files_are_in_file_order(spark, tmp_path):
+    """The first files are small, and splits are dealt to tasks by size."""
+    told = [f"{k} line" for k in range(400)]
+    at = 0
+    for k, n in enumerate((1, 3, 90, 2, 200, 104)):
+        (tmp_path / f"trace.{k}.log").write_text("\n".join(told[at : at + n]) + "\n\n")
+        at += n
+    rows = lines.read_lines(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.line for r in rows] == told and [r.part for r in rows] == sorted(r.part for r in rows)
+    numbered = lines.counted(lines.read_lines(spark, str(tmp_path)), "n", F.lit(True)).collect()
+    assert all(r.line == f"{r.n} line" for r in numbered)

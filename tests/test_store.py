@@ -28,6 +28,7 @@ def test_traces(spark, tmp_path):
     assert store.summary(one).first().event_count == 5
     before = [tuple(r) for r in store.replay(one).collect()]
     store.compact(one)
+    assert store.summary(one).first().events_sorted and not store.summary(two).first().events_sorted
     assert [tuple(r) for r in store.replay(one).collect()] == before and store.summary(one).first().event_count == 5
     store.save(events(spark, 4), trace_id=one)
     assert [r.seq for r in store.load(one)["instructions"].collect()] == [4]

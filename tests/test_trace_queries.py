@@ -1,7 +1,7 @@
 import pytest
 
 from tests.compare import rows_of, rows_of_sql
-from tracelake.plans import trace_queries
+from tracelake.plans import source_queries, trace_queries
 
 
 @pytest.mark.parametrize("key", sorted(trace_queries.QUERIES))
@@ -9,6 +9,11 @@ def test_query_agrees_with_sql(key, spark, sf_dir, duck):
     assert rows_of(trace_queries.QUERIES[key](spark, sf_dir)) == rows_of_sql(duck, trace_queries.ORACLE[key])
 
 
+@pytest.mark.parametrize("key", sorted(source_queries.QUERIES))
+def test_what_is_written_comes_back(key, spark, sf_dir, duck):
+    assert rows_of(source_queries.QUERIES[key](spark, sf_dir)) == rows_of_sql(duck, source_queries.ORACLE[key])
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 

@@ -11,6 +11,10 @@ from .kernels import asof_last
 from .lookups import addresses_between, between, instruction_at, writes_at
 
 
+#: Steps between coordinated snapshots.
+SNAPSHOT = 100_000
+
+
 def register_writes(deltas: DataFrame) -> DataFrame:
     """(seq, ord, register_id, value): a row for each bit set in a delta's mask.
 
@@ -45,6 +49,36 @@ def register_state(writes: DataFrame, step: int) -> DataFrame:
     return rows.select("register_id", F.when(flags, F.pmod(value, F.lit(1 << 32))).otherwise(value).alias("value"))
 
 
+def register_snapshots(writes: DataFrame, interval: int = SNAPSHOT) -> DataFrame:
+    """(snapshot_id, step, register_id, value): every register's value at each whole multiple of interval that the trace reaches.
+
+    Registers not written by then have no row. Writes are first brought down to the last of each
+    register and interval; the window over intervals has a row for each of those.
+    """
+    place = F.expr(f"(seq + {interval - 1}) div {interval}")  # the first snapshot that sees it
+    last = writes.groupBy("register_id", place.alias("n")).agg(F.max(F.struct("seq", "ord", "value")).alias("last"))
+    top = writes.agg(F.expr(f"max(seq) div {interval}").alias("top"))
+    following = F.lead("n").over(Window.partitionBy("register_id").orderBy("n"))
+    spans = last.withColumn("until", following).join(F.broadcast(top))
+    high = F.least(F.col("top"), F.coalesce(F.col("until") - 1, F.col("top")))
+    low = F.greatest(F.col("n"), F.lit(1))
+    rows = spans.where(low <= high).select(F.explode(F.sequence(low, high)).alias("snapshot_id"), "register_id", F.col("last.value").alias("value"))
+    return rows.select("snapshot_id", (F.col("snapshot_id") * interval).alias("step"), "register_id", "value")
+
+
+def snapshot_before(snapshots: DataFrame, step: int) -> DataFrame:
+    """(snapshot_id, step): the latest snapshot at step or earlier; no row without one."""
+    return snapshots.where(F.col("step") <= step).groupBy().agg(F.max(F.struct("step", "snapshot_id")).alias("m")).where("m is not null").select("m.snapshot_id", "m.step")
+
+
+def register_state_from(snapshots: DataFrame, writes: DataFrame, step: int) -> DataFrame:
+    """register_state() from the last snapshot, which should be written, and the writes after it."""
+    base = writes.sparkSession.range(1).join(F.broadcast(snapshot_before(snapshots, step)), how="left").select(F.coalesce("step", F.lit(-1)).alias("base"))
+    held = snapshots.join(F.broadcast(base), F.col("step") == F.col("base")).select(F.col("step").alias("seq"), F.lit(-1).cast("long").alias("ord"), "register_id", "value")
+    recent = writes.where(F.col("seq") <= step).join(F.broadcast(base), F.col("seq") > F.col("base")).select("seq", "ord", "register_id", "value")
+    return register_state(held.unionByName(recent), step)
+
+
 def full_state_deltas(states: DataFrame) -> DataFrame:
     """(seq, ord, register_id, value): what changed between full register states, given in long form."""
     before = Window.partitionBy("register_id").orderBy("seq", "ord")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 
-_CATALOGUE = "trace_id BIGINT, serial BIGINT, so_file_id BIGINT, source STRING, base_addr BIGINT, event_count BIGINT, versions ARRAY<STRING>, deleted BOOLEAN, created_at TIMESTAMP"
+_CATALOGUE = "trace_id BIGINT, serial BIGINT, so_file_id BIGINT, source STRING, base_addr BIGINT, event_count BIGINT, versions ARRAY<STRING>, deleted BOOLEAN, created_at TIMESTAMP, events_sorted BOOLEAN"
 
 
 class CountMismatch(ValueError):
@@ -54,12 +54,16 @@ class TraceStore:
 
     def _publish(self, trace_id: int, **values) -> None:
         serial = (self._catalogue().agg(F.max("serial")).first()[0] or 0) + 1
-        row = (trace_id, serial, values["so_file_id"], values["source"], values["base_addr"], values["event_count"], values["versions"], values.get("deleted", False), datetime.now(timezone.utc).replace(tzinfo=None))
+        row = (trace_id, serial, values["so_file_id"], values["source"], values["base_addr"], values["event_count"], values["versions"], values.get("deleted", False), datetime.now(timezone.utc).replace(tzinfo=None), values.get("events_sorted", False))
         self.spark.createDataFrame([row], _CATALOGUE).coalesce(1).write.mode("append").parquet(f"{self.root}/catalogue")
 
     def list(self) -> DataFrame:
-        """(trace_id, so_file_id, source, base_addr, event_count, created_at) of all traces."""
-        return self._catalogue().where("not deleted").select("trace_id", "so_file_id", "source", "base_addr", "event_count", "created_at")
+        """(trace_id, so_file_id, source, base_addr, event_count, events_sorted, created_at) of all traces.
+
+        events_sorted is true where files are known to follow each other in steps, as after compact().
+        """
+        flag = F.coalesce("events_sorted", F.lit(False)).alias("events_sorted")
+        return self._catalogue().where("not deleted").select("trace_id", "so_file_id", "source", "base_addr", "event_count", flag, "created_at")
 
     def summary(self, trace_id: int) -> DataFrame:
         return self.list().where(F.col("trace_id") == trace_id)
@@ -128,7 +132,7 @@ class TraceStore:
         """Rewrites a trace as one version in ranges of steps; rows stay as they are."""
         old = self._entry(trace_id)
         version, total = self._write(trace_id, {k: t for k, t in self.load(trace_id).items() if not t.isEmpty()}, ranged=True)
-        self._publish(trace_id, so_file_id=old.so_file_id, source=old.source, base_addr=old.base_addr, event_count=total, versions=[version])
+        self._publish(trace_id, so_file_id=old.so_file_id, source=old.source, base_addr=old.base_addr, event_count=total, versions=[version], events_sorted=True)
 
     def replay(self, trace_id: int) -> DataFrame:
         """(step, kind, ord, event): all events in step order, as JSON text, by kind and arrival within a step."""
