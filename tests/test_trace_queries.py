@@ -1,7 +1,7 @@
 import pytest
 
 from tests.compare import rows_of, rows_of_sql
-from tracelake.plans import source_queries, trace_queries
+from tracelake.plans import edge_queries, source_queries, trace_queries
 
 
 @pytest.mark.parametrize("key", sorted(trace_queries.QUERIES))
@@ -14,6 +14,12 @@ def test_what_is_written_comes_back(key, spark, sf_dir, duck):
     assert rows_of(source_queries.QUERIES[key](spark, sf_dir)) == rows_of_sql(duck, source_queries.ORACLE[key])
 
 
+@pytest.mark.parametrize("key", sorted(edge_queries.QUERIES))
+def test_ties_and_straddles(key, spark, sf_dir, duck):
+    got = rows_of(edge_queries.QUERIES[key](spark, sf_dir))
+    assert got[1] and got == rows_of_sql(duck, edge_queries.ORACLE[key])
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
