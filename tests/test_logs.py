@@ -47,3 +47,27 @@ def test_samples(spark):
     assert got(found, "calls", "seq", "thread_id", "caller_address", "callee_address", "depth") == [(1, 7, 0x10, 0x20, 0), (2, 7, 0x20, 0x30, 1), (4, 7, 0x10, 0x30, 0)]
     assert sorted(got(found, "instructions", "seq", "thread_id", "address")) == [(1, 7, 0x10), (1, 7, 0x20), (1, 7, 0x30), (3, 8, 0x40)]
     assert sorted(got(found, "threads", "thread_id", "create_step")) == [(7, 0), (8, 3)]
+
+
+def test_race_report(spark):
+    told = [
+        "==================", "WARNING: ThreadSanitizer: data race (pid=9)", "  Write of size 8 at 0x7b04 by thread T2:", "    #0 f (a.out+0x1)", "  Previous read of size 4 at 0x7b00 by thread T1 (mutexes: write M1):",
+        "  Mutex M1 (0x50) created by thread T1:", "  Thread T3 (tid=12, running) created by main thread at:", "WARNING: ThreadSanitizer: thread leak (pid=9)", "  Read of size 1 at 0xffffffffffffff00 by thread T3:",
+    ]
+    found = logs.read_race_report(lines.from_texts(spark, told))
+    assert got(found, "memory_reads", "step", "thread_id", "address", "size") == [(1, 1, 0x7B04, 8), (3, 2, 0x7B00, 4), (6, 3, -256, 1)]
+    assert got(found, "sync_events", "step", "thread_id", "sync_type", "sync_object_addr", "result") == [
+        (2, 1, "MutexLock", 0x7B04, "Contended"), (4, 2, "MutexLock", 0x7B00, "Contended"), (5, 2, "MutexCreate", 0x50, "Success"), (7, 3, "MutexLock", -256, "Success"),
+    ]
+    assert [t for (t,) in got(found, "threads", "thread_id")] == [1, 2, 3]
+    assert got(logs.read_race_report(lines.from_texts(spark, ["nothing"])), "threads", "thread_id") == [(1,)]
+
+
+def test_translation_log(spark):
+    block = ["IN: main", "0x0000000000401000:  d10083ff  sub sp, sp, #0x20", "0x0000000000401004:  94000000  bl #0x400ff0"]
+    other = ["----------------", "0x0000000000400ff0:  d65f03c0  ret", "0x0000000000400fe0:  d503201f  nop"]
+    found = logs.read_translation_log(lines.from_texts(spark, [*block, *other]))
+    assert got(found, "instructions", "seq", "address", "is_branch") == [(1, 0x400FE0, False), (2, 0x400FF0, True), (3, 0x401000, False), (4, 0x401004, True)]
+    ran = ["Trace 0x1 [0000000000401000] main", "Trace 0x2 [0000000000400ff0]", "Trace 0x3 [00000000deadbeef]", "Trace 0x1 [0000000000401000] main"]
+    found = logs.READERS["qemu"](lines.from_texts(spark, [*block, ran[0], *other, *ran[1:]]), 0x400FF0, 0x14)
+    assert got(found, "instructions", "seq", "thread_id", "address") == [(1, 1, 0x10), (2, 1, 0), (3, 1, 0x10)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import labelled, parse_addr, to_so_offset
+from ..functions.scalars import labelled, ordered, parse_addr, to_so_offset, wrapped
 from .jsonl import _small, _table
 from .lines import announced, counted, once, summed
 
@@ -25,6 +25,14 @@ LIBRARY_ALIASES = {
     "pthread_rwlock_unlock": "RwLockUnlock", "pthread_cond_wait": "CondvarWait", "pthread_cond_signal": "CondvarSignal", "pthread_cond_broadcast": "CondvarBroadcast", "sem_wait": "SemWait",
     "sem_post": "SemPost", "pthread_barrier_wait": "BarrierWait",
 }
+REPORTS = (
+    "data race", "lock-order-inversion", "thread leak", "use of an invalid mutex", "double lock of a mutex", "destroy of a locked mutex", "unlock of an unlocked mutex",
+)
+MUTEX_REPORTS = {"locked": "Lock", "unlocked": "Unlock", "created": "Create", "destroyed": "Destroy"}
+TRANSLATED_BRANCHES = (
+    "b", "bl", "br", "blr", "ret", "eret", "cbz", "cbnz", "tbz", "tbnz", "beq", "bne", "blt", "bgt", "ble", "bge", "bhi", "blo", "bpl", "bmi", "bvs", "bvc", "bcs", "bcc", "bhs", "bls", "bal", "bnv",
+    "jmp", "je", "jne", "jz", "jnz", "jl", "jle", "jg", "jge", "ja", "jae", "jb", "jbe", "js", "jns", "jo", "jno", "jp", "jnp", "jcxz", "jecxz", "jrcxz", "call", "retn", "retf", "loop", "loope", "loopne",
+)
 _BRANCHES = r"^(b|bl|blr|br|ret|retq|cbn?z|tbn?z|b\.\w+|bx|blx|call\w*|j\w+|loop\w*)$"
 _CALLS = r"^(bl|blr|blx|call\w*)$"
 
@@ -147,4 +155,77 @@ def read_samples(lines: DataFrame) -> dict[str, DataFrame]:
     return tables | {"threads": threads}
 
 
-READERS = {"memory-checker": read_memory_checker, "calls-log": read_calls_log, "listing": read_listing, "samples": read_samples}
+def read_race_report(lines: DataFrame, base: int = 0) -> dict[str, DataFrame]:
+    """A race detector's report: "Write of size 8 at 0x.. by thread T1", "Previous read ..", "Mutex M1 (0x..) locked by thread T2".
+
+    A mutex line is one step; an access is two, a read of its bytes and the acquisition of its
+    address, Contended below a "data race" heading. Steps count from 1, threads from 1 as they
+    first appear, with "Thread T1 (tid=9" too; without any there is thread 1.
+    """
+    access, mutex = r"^(?:Read|Write|Previous\s+(?:read|write)) of size (\d+) at 0x([0-9a-fA-F]+)\s+by\s+thread\s+(T\d+)", r"Mutex\s+\w+\s+\(0x([0-9a-fA-F]+)\)\s+(locked|unlocked|created|destroyed)\s+by\s+thread\s+(T\d+)"
+    told, heading = r"Thread (T\d+)\s*\(tid=\d+", "WARNING: ThreadSanitizer: (" + "|".join(REPORTS) + ")"
+    part = lambda pattern, k: F.regexp_extract("line", pattern, k)
+    kind = F.when(F.col("line").rlike(told), "thread").when(F.col("line").rlike(heading), "heading").when(F.col("line").rlike(mutex), "mutex").when(F.col("line").rlike(access), "access")
+    rows = once(lines, "kind", kind).where("kind is not null")
+    name = F.when(F.col("kind") == "thread", part(told, 1)).when(F.col("kind") == "mutex", part(mutex, 3)).when(F.col("kind") == "access", part(access, 3))
+    rows = counted(once(rows, "name", name), "headings", F.col("kind") == "heading")
+    heads = rows.where("kind = 'heading'").select((F.col("headings") + 1).alias("n"), (part(heading, 1) == "data race").alias("race"))
+    rows = summed(rows, "earlier", F.when(F.col("kind") == "mutex", 1).when(F.col("kind") == "access", 2)).withColumn("seq", F.col("earlier") + 1)
+    names = rows.where("name is not null").groupBy("name").agg(F.min("ord").alias("first"))
+    numbered = names.select(F.col("name").alias("known"), "first", F.row_number().over(Window.orderBy("first")).cast("long").alias("tid"))  # a row for each thread
+    rows = rows.join(numbered, F.col("name") == F.col("known")).join(heads, F.col("headings") == F.col("n"), "left")
+    seen, locked = rows.where("kind = 'access'"), rows.where("kind = 'mutex'")
+    at = F.when(F.col("kind") == "access", _hex("line", access, 2)).otherwise(_hex("line", mutex, 1))
+    at = wrapped(at) - base
+    taken = _table("SYNC_EVENTS", seen, step=F.col("seq") + 1, thread_id=F.col("tid"), sync_type=F.lit("MutexLock"), sync_object_addr=at, result=F.when(F.coalesce("race", F.lit(False)), "Contended").otherwise("Success"))
+    done = F.concat(F.lit("Mutex"), labelled(part(mutex, 2), MUTEX_REPORTS))
+    zero = F.lit(0)
+    none = lines.sparkSession.range(1).select(F.lit("T1").alias("known"), F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("tid")).join(numbered.limit(1).select("tid").withColumnRenamed("tid", "any"), how="left").where("any is null").drop("any")
+    own = numbered.unionByName(none).withColumn("ord", F.col("first"))
+    return {
+        "threads": _table("THREADS", own, thread_id=F.col("tid"), parent_thread_id=zero, create_step=zero, stack_base=zero, stack_size=zero, tls_addr=zero, is_jni_attached=F.lit(False)),
+        "memory_reads": _table("MEMORY_READS", seen, step=F.col("seq"), thread_id=F.col("tid"), address=at, size=part(access, 1).cast("long")),
+        "sync_events": taken.unionByName(_table("SYNC_EVENTS", locked, step=F.col("seq"), thread_id=F.col("tid"), sync_type=done, sync_object_addr=at, result=F.lit("Success"))),
+    }
+
+
+def read_translation_log(lines: DataFrame, base: int = 0, size: int = 0) -> dict[str, DataFrame]:
+    """An emulator's log of translated blocks, "0x401000:  d10083ff  sub sp, sp, #32" below "IN:", and of executed ones, "Trace 0x.. [401000]".
+
+    A block begins behind a heading, and where an address is below the block's first; of blocks that
+    begin alike the last counts. With executed blocks their instructions follow one another as they ran,
+    blocks that were not logged left out; without, blocks are in order of address. Steps count from
+    1, as thread 1. With base, only addresses from base on, and with size below base + size, count,
+    relative to base.
+    """
+    code, ran = r"^(0x[0-9a-fA-F]+):\s+[0-9a-fA-F]+\s+(.+)", r"^Trace\s+\S+\s+\[([0-9a-fA-F]+)\]"
+    kind = F.when(F.col("line").rlike(ran), "run").when(F.col("line").rlike(code), "code").when(F.col("line").rlike("^(IN:|----)"), "head")
+    rows = counted(once(lines, "kind", kind).where("kind is not null"), "group", F.col("kind") == "head")
+    found = rows.where("kind = 'code'").withColumns({"at": ordered(wrapped(parse_addr(F.regexp_extract("line", code, 1)))), "word": F.lower(F.regexp_extract("line", code, 2))})
+    # A block's first address is the lowest so far below its heading.
+    begun = found.withColumn("start", F.min("at").over(Window.partitionBy("group").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)))
+    each = begun.groupBy("start", "group").agg(F.min("ord").alias("ord"), F.sort_array(F.collect_list(F.struct("ord", "at", "word"))).alias("codes"))
+    blocks = each.groupBy("start").agg(F.max_by(F.struct("codes", "ord"), "group").alias("last")).select("start", F.col("last.ord").alias("ord"), F.col("last.codes").alias("codes"))
+    low, high = base - (1 << 63), base + size - (1 << 63)
+    if base:
+        blocks = blocks.withColumn("codes", F.filter("codes", lambda c: (c["at"] >= low) & (c["at"] < high) if size else c["at"] >= low))
+    runs = rows.where("kind = 'run'").select("ord", "part", ordered(wrapped(_hex("line", ran))).alias("of"))
+    if runs.isEmpty():
+        sized = blocks.withColumn("n", F.size("codes"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
+        told = sized.select("codes", before.alias("earlier"))
+    else:
+        told = summed(runs.join(blocks.select("start", "codes"), F.col("of") == F.col("start")), "earlier", F.size("codes")).select("codes", "earlier")
+    steps = told.select("earlier", F.posexplode("codes").alias("k", "c")).withColumn("seq", F.col("earlier") + F.col("k") + 1).withColumn("ord", F.col("seq"))
+    branch = F.regexp_replace(F.regexp_extract("c.word", r"^\S+", 0), r"\.+$", "").isin(*TRANSLATED_BRANCHES)
+    tables = {"instructions": _table("INSTRUCTIONS", steps, seq=F.col("seq"), thread_id=F.lit(1), address=ordered(F.col("c.at")) - base, is_branch=branch, branch_taken=F.lit(False))}
+    return tables | {"threads": announced(tables, at_start=True)}
+
+
+READERS = {
+    "memory-checker": read_memory_checker, "calls-log": read_calls_log, "listing": read_listing, "samples": read_samples, "race-report": read_race_report, "translation-log": read_translation_log,
+}
+#: The same by the names of tools that write so.
+READERS |= {
+    "lackey": read_memory_checker, "strace": read_calls_log, "ltrace": read_calls_log, "objdump": read_listing, "perf-script": read_samples, "tsan": read_race_report, "qemu": read_translation_log,
+}

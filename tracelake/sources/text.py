@@ -192,4 +192,5 @@ READERS = {
     "pinatrace": read_access_trace,
     "pin-calls": read_call_trace,
     "emulator-text": read_emulator_text,
+    "unidbg-text": read_emulator_text,
 }
