@@ -162,6 +162,49 @@ def test_op8_on_held_out_rows(spark):
     assert np.mean([r.score for r in got if labels.get(r.doc_id) == 1]) > 0.8
 
 
+def test_op8_is_what_its_model_says(spark, sf_dir, docs):
+    """Every score by plain loops over bins, from the model that the query fits."""
+    from math import exp
+
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = pu_quality.fit(documents, labels)
+    assert all(np.array_equal(a, b) for a, b in zip(model.edges, pu_quality.fit(documents.repartition(5), labels.repartition(3)).edges))
+    got = {r.doc_id: r for r in registry.queries()["op8_pu_quality"](spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        at, z = 0, 0.0
+        for value, edges in zip(pu_quality.measures(text), model.edges):
+            z += model.weights[at + sum(e <= value for e in edges)]
+            at += len(edges) + 1
+        score = 1 / (1 + exp(-(z + model.weights[at])))
+        assert got[doc_id].score == pytest.approx(score, abs=1e-9)
+        assert got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 5 == 0) and got[doc_id].predicted == (got[doc_id].score >= 0.3)
+
+
+def plain_risk(weights, positive, unlabelled, prior):
+    """The non-negative unbiased risk, and whether its negative part is below zero, row by row."""
+    from math import exp, log
+
+    loss = lambda bins, label: log(1 + exp(-sum(weights[b] for b in bins) if label else sum(weights[b] for b in bins)))
+    mean = lambda rows, label: sum(loss(r, label) for r in rows) / len(rows)
+    rest = mean(unlabelled, 0) - prior * mean(positive, 0)
+    return prior * mean(positive, 1) + max(0.0, rest), rest < 0
+
+
+def test_op8_minimises_the_risk():
+    """Learned weights have a lower risk than none and than any of many nearby ones."""
+    rows = np.random.default_rng(4)
+    x = lambda n, mean: np.column_stack([rows.normal(mean, 1, n), *[rows.normal(0, 1, n)] * (len(pu_quality.MEASURES) - 1)])
+    positive, mixed = x(150, 2), np.concatenate((x(60, 2), x(140, -2)))
+    model = pu_quality.learn(positive, mixed)
+    bins = [pu_quality._binned(t, model.edges).tolist() for t in (positive, mixed)]
+    best, below = plain_risk(model.weights, *bins, model.prior)
+    assert best < 0.5 * plain_risk(np.zeros_like(model.weights), *bins, model.prior)[0]
+    for _ in range(20):
+        other, _ = plain_risk(model.weights + rows.normal(0, 0.5, model.weights.size), *bins, model.prior)
+        assert other > best - 0.02
+
+
 def test_op8_prior():
     """Of unlabelled rows 30 % are positive; positives and negatives differ in one measure."""
     rows = np.random.default_rng(3)

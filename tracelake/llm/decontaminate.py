@@ -39,7 +39,7 @@ MEMO = 400_000
 
 # Ranges of scripts written without spaces (Thai and Lao, Burmese, Khmer, kana, Han).
 _SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORD = re.compile(rf"[{_SPACELESS}]|(?:(?![{_SPACELESS}])\w)+")
+_WORD = re.compile(rf"[^\W{_SPACELESS}]+|[{_SPACELESS}]")
 _BITMAP = 8 * 4096  # bits of one bitmap of Spark's
 
 
@@ -50,18 +50,20 @@ class Words:
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return self.by_line(text)[0]
+        return self._hashes(_WORD.findall((text or "").lower()))
 
     def by_line(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The words' hashes, and how many words each line has."""
         lines = [_WORD.findall(line) for line in (text or "").lower().split("\n")]
-        words = [w for line in lines for w in line]
+        return self._hashes([w for line in lines for w in line]), np.fromiter(map(len, lines), np.int64, len(lines))
+
+    def _hashes(self, words: list[str]) -> np.ndarray:
         if len(self.known) > MEMO:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.fromiter(map(len, lines), np.int64, len(lines))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def whole_seed(words: np.ndarray) -> np.ndarray:
@@ -116,16 +118,18 @@ def _bitmap(seed_rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _document_rows(packed):
+def _document_rows(packed, with_lines: bool):
+    """Documents with seeds that may be an item's; with_lines says whether any item is looked for as a whole line."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(np.frombuffer(packed.value, np.uint8)).view(bool)
         hashed, at = Words(), TaskContext.get().partitionId() << 32
         for rows in batches:
             out = []
             for doc_id, text, key in zip(*rows.columns):
-                words, sizes = hashed.by_line(text.as_py())
+                words, sizes = hashed.by_line(text.as_py()) if with_lines else (hashed(text.as_py()), None)
                 hits, places = [], []
-                short = short_lines(words, sizes)
+                short = short_lines(words, sizes) if with_lines else []
                 whole = [whole_seed(words[a:b]) for a, b in short]
                 for found, near in [*((seeds(words, mask), None) for mask in MASKS), (np.concatenate(whole or [np.empty(0, np.uint64)]), np.array([a for a, _ in short], np.int64))]:
                     of, near = near, np.arange(found.size)
@@ -198,9 +202,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     alike = materialize(alike.withColumn("item", F.monotonically_increasing_id()), "distinct-items")
     of_items = alike.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item", F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_place"))
     packed = spark.sparkContext.broadcast(np.packbits(_bitmap(of_items)).tobytes())
+    with_lines = not alike.where(F.size("words") < LEAST).isEmpty()
     source = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     hit = materialize(
-        source.mapInArrow(_document_rows(packed), "row long, doc_id long, text_key long, words array<long>, seeds array<long>, places array<long>"), "hits"
+        source.mapInArrow(_document_rows(packed, with_lines), "row long, doc_id long, text_key long, words array<long>, seeds array<long>, places array<long>"), "hits"
     )
     of_docs = hit.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place"))
     laid = of_docs.join(of_items, "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("start")).distinct()
