@@ -357,10 +357,12 @@ def repeated(docs: DataFrame, cut_bits: int = CUT_BITS, run: int = RUN) -> DataF
     texts = docs.select(_identity("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("raw"))
     met = wanted.join(texts, F.col("doc") == F.col("key")).select("doc", "wanted", "raw")
     beside = materialize(met.mapInArrow(_beside(cut_bits), "doc long, at int, right boolean, beside binary, other long, place int"), "beside")
-    theirs = beside.where("other is null").select(F.col("doc").alias("t_doc"), F.col("at").alias("t_at"), F.col("right").alias("t_right"), F.col("beside").alias("theirs")).dropDuplicates(["t_doc", "t_at", "t_right"])
+    theirs = beside.where("other is null").groupBy(F.col("doc").alias("t_doc"), F.col("at").alias("t_at"), F.col("right").alias("t_right")).agg(F.min("beside").alias("theirs"))
+    theirs = materialize(theirs, "theirs")  # a plain shuffle again, as many texts can ask for one place
     pairs = beside.where("other is not null").join(theirs, (F.col("other") == F.col("t_doc")) & (F.col("place") == F.col("t_at")) & (F.col("right") == F.col("t_right")))
     lengths = materialize(pairs.select("doc", "at", "right", F.col("beside").alias("mine"), "theirs").mapInArrow(_lengths, "doc long, at int, right boolean, n int"), "lengths")
     discard(beside)
+    discard(theirs)
     near = lengths.groupBy(F.col("doc").alias("of")).agg(F.collect_set(F.struct("at", "right", "n")).alias("near"))
     whole = by_doc.join(near, F.col("doc") == F.col("of"), "left").select("doc", "doc_id", "parts", "near")
     return whole.mapInArrow(_runs(run), "doc_id long, start int, end int, n_chunks long, keep_doc_id long, removed boolean, doc long")
