@@ -187,7 +187,7 @@ def producer_consumer(flows: DataFrame, mechanisms: DataFrame) -> DataFrame:
     """Pairs of threads with two flows or more: shared addresses, cycles, latencies and the lock they use most.
 
     shared_addresses has (address, access_size, overlap_size) of each address's first flow;
-    mechanisms comes from stats.sync_mechanisms.
+    mechanisms comes from stats.sync_mechanisms, for all pairs or those of the flows.
     """
     gap = F.col("read_step") - F.col("write_step")
     each = flows.groupBy("from_thread", "to_thread", "address").agg(

@@ -253,17 +253,19 @@ def event_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def sync_mechanisms(sync: DataFrame) -> DataFrame:
+def sync_mechanisms(sync: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(thread_a, thread_b, sync_object_addr, kind): the object that two threads use most, counting both; ties go to the lowest address.
 
     It need not be used by both. A pair's best object is found from each thread's counts, so the
-    work grows with pairs of threads and objects, not with events.
+    work grows with pairs of threads and objects, not with events. pairs (thread_a, thread_b) are those
+    asked for; without it all are.
     """
     counts = sync.groupBy("thread_id", "sync_object_addr").agg(F.count(F.lit(1)).alias("n"))
-    ids = counts.select("thread_id").distinct()
-    pairs = ids.select(F.col("thread_id").alias("thread_a")).join(ids.select(F.col("thread_id").alias("thread_b")), F.col("thread_a") != F.col("thread_b"))
+    if pairs is None:
+        ids = counts.select("thread_id").distinct()
+        pairs = ids.select(F.col("thread_id").alias("thread_a")).join(ids.select(F.col("thread_id").alias("thread_b")), F.col("thread_a") != F.col("thread_b"))
     used = pairs.select("thread_a", "thread_b", F.explode(F.array("thread_a", "thread_b")).alias("thread_id")).join(counts, "thread_id")
     total = used.groupBy("thread_a", "thread_b", "sync_object_addr").agg(F.sum("n").alias("n"))
-    best = total.groupBy("thread_a", "thread_b").agg(F.max_by("sync_object_addr", F.struct("n", (-F.col("sync_object_addr")).alias("low"))).alias("sync_object_addr"))
+    best = total.groupBy("thread_a", "thread_b").agg(F.max_by("sync_object_addr", F.struct("n", F.bitwise_not(ordered(F.col("sync_object_addr"))).alias("low"))).alias("sync_object_addr"))
     kinds = sync.groupBy(F.col("sync_object_addr").alias("kind_of")).agg(F.min_by(primitive_kind(F.col("sync_type")), F.struct("step", "ord")).alias("kind"))
     return best.join(kinds, F.col("sync_object_addr") == F.col("kind_of")).drop("kind_of")
