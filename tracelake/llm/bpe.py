@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
 from .common import give_back, materialize, table, total_chars
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -232,6 +233,7 @@ def encode(docs: DataFrame, path: str = RANKS, block_chars: int = BLOCK_CHARS, s
     answered row by row; a very long text is a block of its own; an empty table gives an empty
     result, and other columns are not read. path names a file of ranks that every executor has.
     """
+    reachable(docs.sparkSession)
     shards = max(1, -(-total_chars(docs) // shard_bytes))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     coded = materialize(source.mapInArrow(_blocks(shards, block_chars), _BLOCK), "blocks")
@@ -285,6 +287,7 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     The table has a row for each rank of the vocabulary file, so its size is that file's. Null
     ids decode to null, an empty list to no bytes; an unknown or null id in a list raises an error.
     """
+    reachable(encoded.sparkSession)
     source = encoded.select("doc_id", "ids")
     return source.mapInArrow(_decode(path), "doc_id long, ids array<int>, decoded binary")
 

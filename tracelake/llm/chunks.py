@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
 from .common import discard, materialize, sheltered, table
 
 #: A boundary has this many upper bits zero, and no other such place in the SPREAD bytes before: chunks of about 34 bytes.
@@ -118,6 +119,7 @@ def chunks(docs: DataFrame, cut_bits: int = CUT_BITS) -> DataFrame:
 
     doc stands for the pair of doc_id and text. Null and empty texts have no chunk.
     """
+    reachable(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), _identity("doc_id", "text").alias("doc"), F.col("text").cast("binary"))
     return source.mapInArrow(_chunk(cut_bits), "doc_id long, doc long, start int, end int, d1 long, d2 int")
 

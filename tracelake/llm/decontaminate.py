@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
 from .common import give_back, materialize, sheltered, table
 
 MASKS = ("11101", "1111")
@@ -195,6 +196,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tables give empty results, and other columns are not read.
     """
     spark = docs.sparkSession
+    reachable(spark)
     items = materialize(
         benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, "item_id long, words array<long>, seeds array<long>, places array<long>"), "items"
     )

@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
 from .common import give_back, materialize, table, total_chars
 
 #: Bytes of text in a block, about.
@@ -204,6 +205,7 @@ def cross_entropy_difference(docs: DataFrame, trusted: DataFrame, block_bytes: i
     text is scored whole, an empty table gives an empty result, and other columns are not read.
     Documents are dealt by doc_id and text, so only rows alike in both meet in one block for certain.
     """
+    reachable(docs.sparkSession)
     blocks = max(1, -(-total_chars(docs) // block_bytes))
     shards = blocks
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
 from .common import table
 
 #: Rows of documents that learning looks at, at most.
@@ -157,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     count each, and without trusted or without any rows all scores are one half.
     """
     docs, labels = docs.select(F.col("doc_id").cast("long"), "text"), labels.select(F.col("doc_id").cast("long"), "quality")
+    reachable(docs.sparkSession)
     rows = docs.count()
     most = int((1 << 30) * min(1.0, 0.8 * sample / max(1, rows)))
     pick = F.xxhash64("doc_id", "text", F.lit("quality"))
@@ -191,6 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Repeated rows, several texts of one doc_id and null doc_ids are answered row by row; an empty
     table gives an empty result; lang, source and other columns are not read.
     """
+    reachable(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scored(model), "doc_id long, score double")
 
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reachable
 from .common import give_back, sheltered, table
 
 KINDS = ("assign", "access", "hex")
@@ -462,6 +463,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray,
     the driver. Null and empty texts are left out; of repeated rows each counts. Without any text
     the made-up secrets alone are learned from.
     """
+    reachable(docs.sparkSession)
     rows = docs.count()
     some = docs.where(F.length("text") > 0).select(F.xxhash64(F.col("doc_id").cast("long"), "text", F.lit("secrets")).alias("pick"), F.col("text").cast("string"))
     few = some.where(F.pmod("pick", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.8 * sample / max(1, rows))))
@@ -478,6 +480,7 @@ def find_secrets(docs: DataFrame, model=None) -> DataFrame:
     listed, but for the field's within a pattern's. An empty table gives an empty result, and other
     columns are not read. Without a model one is fitted to docs.
     """
+    reachable(docs.sparkSession)
     model = model or fit(docs)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(model), f"doc_id long, base {_SPANS}, spans {_SPANS}")
 
@@ -488,6 +491,7 @@ def redact(docs: DataFrame, model=None) -> DataFrame:
     Spans that overlap are masked as one. Null and empty texts stay as they are, rows are neither
     dropped nor merged, an empty table stays empty, and columns may have any name.
     """
+    reachable(docs.sparkSession)
     model = model or fit(docs)
     names, safe = docs.columns, sheltered(docs)
     at = names.index("text")

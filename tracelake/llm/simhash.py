@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workers import reachable
 from .common import components, give_back, materialize, sheltered, table
 
 MAX_BITS = 4
@@ -64,6 +65,7 @@ def _with_fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp) for each row of docs."""
+    reachable(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return source.mapInArrow(_with_fingerprints(words), "doc_id long, fp long")
 
@@ -207,6 +209,7 @@ def one_of_each(docs: DataFrame, words: int = 4, bits: int = MAX_BITS) -> DataFr
     has the smallest hash, of repeated rows one. Null and wordless texts are one component, an empty
     table stays empty, and the columns are those of docs, whatever they are called.
     """
+    reachable(docs.sparkSession)
     names, docs = docs.columns, sheltered(docs)
     own_id, text = F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{names.index('text')}").cast("binary")
     # Two hashes stand for the pair of doc_id and text.
