@@ -1,7 +1,9 @@
 import pytest
 
 from tests.compare import rows_of, rows_of_sql
+from tracelake.operators import lookups
 from tracelake.plans import edge_queries, source_queries, trace_queries
+from tracelake.sources import testdata
 
 
 @pytest.mark.parametrize("key", sorted(trace_queries.QUERIES))
@@ -29,6 +31,6 @@ def test_entry_module(spark):
 
 
 def test_range_filters_reach_the_scan(spark, sf_dir):
-    plan = trace_queries.QUERIES["ins_02"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = lookups.instructions_range(testdata.view(spark, sf_dir, "instructions"), 100, 7_000)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_orderkey" in plan and "LessThanOrEqual(l_orderkey" in plan
     assert "l_extendedprice" not in plan

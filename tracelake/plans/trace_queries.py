@@ -56,19 +56,19 @@ _ACQ, _REL, _WAIT = _sql_set(ACQUIRES), _sql_set(HOLD_RELEASES), _sql_set(WAITIN
 
 _INS = ("instructions",)
 _query("ins_01", _INS, f"SELECT * FROM tr_instructions WHERE seq = {LINE_STEP} ORDER BY ord DESC, address DESC, thread_id DESC LIMIT 1")(lambda i: lookups.instruction_at(i, LINE_STEP))
-_query("ins_02", _INS, f"SELECT * FROM tr_instructions WHERE seq BETWEEN 100 AND {LINE_STEP}")(lambda i: lookups.instructions_range(i, 100, LINE_STEP))
+_query("ins_02", _INS, f"SELECT * FROM tr_instructions WHERE seq >= 100")(lambda i: lookups.instructions_range(i, 100))
 _query("ins_03", _INS, f"SELECT DISTINCT seq FROM tr_instructions WHERE address = {ADDRESS}")(lambda i: lookups.steps_by_address(i, ADDRESS))
 _query("ins_04", _INS, f"SELECT DISTINCT seq FROM tr_instructions WHERE thread_id = {THREAD}")(lambda i: lookups.steps_by_thread(i, THREAD))
-_query("ins_05", _INS, f"SELECT * FROM tr_instructions WHERE thread_id = {THREAD} AND seq BETWEEN 100 AND {LINE_STEP}")(lambda i: lookups.thread_instructions(i, THREAD, 100, LINE_STEP))
+_query("ins_05", _INS, f"SELECT * FROM tr_instructions WHERE thread_id = {THREAD} AND seq >= 100")(lambda i: lookups.thread_instructions(i, THREAD, 100))
 _query("ins_06", _INS, f"SELECT thread_id, seq FROM tr_instructions WHERE address = {ADDRESS}")(lambda i: lookups.threads_at_address(i, ADDRESS))
-_query("ins_07", _INS, f"SELECT * FROM tr_instructions WHERE thread_id = {THREAD} AND address BETWEEN 4200 AND 4700 AND seq BETWEEN 100 AND {LINE_STEP}")(
-    lambda i: lookups.find_instructions(i, 100, LINE_STEP, 4200, 4700, THREAD)
+_query("ins_07", _INS, f"SELECT * FROM tr_instructions WHERE thread_id = {THREAD} AND address BETWEEN 4200 AND 4700 AND seq >= 100")(
+    lambda i: lookups.find_instructions(i, 100, None, 4200, 4700, THREAD)
 )
 _query("ins_08", _INS, "SELECT * FROM tr_instructions WHERE seq >= 100 AND address BETWEEN 4200 AND 4700 ORDER BY seq, ord, thread_id, address LIMIT 500")(
     lambda i: lookups.find_instructions(i, start=100, low=4200, high=4700, limit=500)
 )
-_query("ins_09", _INS, f"SELECT * FROM tr_instructions WHERE thread_id = {THREAD} AND seq <= {LINE_STEP} ORDER BY seq, ord, thread_id, address LIMIT 500")(
-    lambda i: lookups.find_instructions(i, end=LINE_STEP, thread_id=THREAD, limit=500)
+_query("ins_09", _INS, f"SELECT * FROM tr_instructions WHERE thread_id = {THREAD} AND seq >= 100 ORDER BY seq, ord, thread_id, address LIMIT 500")(
+    lambda i: lookups.find_instructions(i, start=100, thread_id=THREAD, limit=500)
 )
 _query("ins_10", _INS, f"SELECT * FROM tr_instructions WHERE address = {ADDRESS} AND seq >= 100 ORDER BY seq, ord, thread_id, address LIMIT 100")(
     lambda i: lookups.find_instructions(i, start=100, address=ADDRESS, limit=100)
@@ -77,15 +77,15 @@ _query("ins_11", _INS, "SELECT * FROM tr_instructions WHERE address BETWEEN 4200
     lambda i: lookups.find_instructions(i, low=4200, high=4700, limit=10_000)
 )
 _query("ins_12", _INS, "SELECT DISTINCT thread_id, address FROM tr_instructions")(lambda i: i.select("thread_id", "address").distinct())
-_query("jni_01", ("jni",), f"SELECT * FROM tr_jni WHERE native_address = 4256 AND seq <= {EVENT_STEP}")(lambda j: lookups.jni_by_address(j, 4256, end=EVENT_STEP))
-_query("jni_02", ("jni",), f"SELECT * FROM tr_jni WHERE seq BETWEEN 100 AND {EVENT_STEP}")(lambda j: lookups.jni_range(j, 100, EVENT_STEP))
-_query("cal_01", ("calls",), f"SELECT * FROM tr_calls WHERE callee_func_id = 7 AND seq <= {ORDER_STEP}")(lambda c: lookups.call_events(c, 7, end=ORDER_STEP))
-_query("syn_01", ("sync",), f"SELECT * FROM tr_sync WHERE sync_object_addr = {LOCK} AND step BETWEEN 100 AND {EVENT_STEP}")(lambda s: lookups.lock_events(s, LOCK, 100, EVENT_STEP))
+_query("jni_01", ("jni",), f"SELECT * FROM tr_jni WHERE native_address = 4256 AND seq >= 100")(lambda j: lookups.jni_by_address(j, 4256, start=100))
+_query("jni_02", ("jni",), f"SELECT * FROM tr_jni WHERE seq >= 100")(lambda j: lookups.jni_range(j, 100))
+_query("cal_01", ("calls",), f"SELECT * FROM tr_calls WHERE callee_func_id = 7 AND seq >= 100")(lambda c: lookups.call_events(c, 7, start=100))
+_query("syn_01", ("sync",), f"SELECT * FROM tr_sync WHERE sync_object_addr = {LOCK} AND step >= 100")(lambda s: lookups.lock_events(s, LOCK, 100))
 _query("syn_02", ("sync",), f"SELECT * FROM tr_sync WHERE thread_id = {THREAD}")(lambda s: lookups.thread_sync_events(s, THREAD))
 _query("syn_03", ("sync", "threads"), "SELECT * FROM tr_sync WHERE thread_id IN (SELECT thread_id FROM tr_threads)")(lambda s, t: lookups.find_sync(s, t))
 _query("syn_04", ("sync",), f"SELECT max(step) AS step FROM tr_sync WHERE sync_object_addr = {LOCK} AND step <= {EVENT_STEP}")(lambda s: lookups.last_sync_access(s, LOCK, EVENT_STEP))
-_query("csw_01", ("switches",), f"SELECT * FROM tr_switches WHERE step <= {EVENT_STEP} AND (from_thread = {THREAD} OR to_thread = {THREAD})")(
-    lambda s: lookups.context_switches(s, end=EVENT_STEP, thread_id=THREAD)
+_query("csw_01", ("switches",), f"SELECT * FROM tr_switches WHERE step >= 100 AND (from_thread = {THREAD} OR to_thread = {THREAD})")(
+    lambda s: lookups.context_switches(s, start=100, thread_id=THREAD)
 )
 _query("thr_01", ("threads",), "SELECT * FROM tr_threads")(lambda t: lookups.registered(t).select("thread_id", "ord", "parent_thread_id", "create_step", "exit_step", "name", "is_jni_attached"))
 _query(
@@ -158,16 +158,16 @@ steps AS (SELECT step, CAST(first(thread_id ORDER BY place, ord, thread_id, addr
   false AS has_register_delta, bool_or(bit = 1) AS has_call_event, bool_or(bit = 2) AS has_memory_delta, bool_or(bit = 4) AS has_sync_event, bool_or(bit = 8) AS has_context_switch,
   bool_or(bit = 16) AS has_thread_event, bool_or(bit = 32) AS has_jni_call FROM e GROUP BY step)"""
 _query("tln_01", _TLN, f"{_TIMELINE_SQL} SELECT * FROM steps")(_timeline)
-_query("tln_02", _TLN, f"""{_TIMELINE_SQL}, f AS (SELECT step FROM steps WHERE step BETWEEN 10 AND {EVENT_STEP} AND thread_id = {THREAD} AND instruction_address BETWEEN 4200 AND 4900
+_query("tln_02", _TLN, f"""{_TIMELINE_SQL}, f AS (SELECT step FROM steps WHERE step >= 10 AND thread_id = {THREAD} AND instruction_address BETWEEN 4200 AND 4900
   AND step IN (SELECT seq FROM tr_calls WHERE callee_func_id < 64))
 SELECT step, (SELECT count(*) FROM f) AS total_count, (SELECT count(*) FROM f) > 200 AS has_more FROM f ORDER BY step LIMIT 200""")(
-    lambda i, c, w, s, x, t, j: asof.find_timeline(_timeline(i, c, w, s, x, t, j), c, 10, EVENT_STEP, THREAD, 4200, 4900, limit=200)
+    lambda i, c, w, s, x, t, j: asof.find_timeline(_timeline(i, c, w, s, x, t, j), c, 10, None, THREAD, 4200, 4900, limit=200)
 )
 _query("tln_03", _TLN, f"{_TIMELINE_SQL} SELECT step FROM steps WHERE thread_id = {THREAD}")(lambda *v: _timeline(*v).where(F.col("thread_id") == THREAD).select("step"))
 _query("tln_04", ("states", "sync", "switches"), f"""
 SELECT * FROM (SELECT 'state_change' AS kind, step, ord, new_state AS detail FROM tr_states WHERE thread_id = {THREAD} UNION ALL SELECT 'sync', step, ord, sync_type FROM tr_sync WHERE thread_id = {THREAD}
-  UNION ALL SELECT 'switch', step, ord, switch_reason FROM tr_switches WHERE {THREAD} IN (from_thread, to_thread)) z WHERE step <= {EVENT_STEP}""")(
-    lambda t, s, x: asof.thread_timeline(t, s, x, THREAD, end=EVENT_STEP)
+  UNION ALL SELECT 'switch', step, ord, switch_reason FROM tr_switches WHERE {THREAD} IN (from_thread, to_thread)) z WHERE step >= 100""")(
+    lambda t, s, x: asof.thread_timeline(t, s, x, THREAD, start=100)
 )
 _query("act_01", ("sync", "calls"), """
 SELECT s.step, s.thread_id, c.callee_address AS active_function FROM tr_sync s ASOF LEFT JOIN tr_calls c ON s.thread_id = c.thread_id AND s.step >= c.seq""")(
@@ -393,7 +393,7 @@ _query("ext_call_graph", ("calls", "functions"), f"""
 WITH c AS (SELECT caller_address, callee_address, count(*) AS call_count FROM tr_calls WHERE event_type <> 'Return' GROUP BY 1, 2) SELECT c.*, {_NAME_SQL.format(a="c.callee_address")} AS func_name FROM c""")(
     extras.call_graph
 )
-_query("ext_memory_history", ("mem_writes",), f"SELECT * FROM tr_mem_writes WHERE address < 20680 AND address + size > 20580 AND step <= {EVENT_STEP}")(lambda w: extras.memory_history(w, 20_580, 100, end=EVENT_STEP))
+_query("ext_memory_history", ("mem_writes",), f"SELECT * FROM tr_mem_writes WHERE address < 20680 AND address + size > 20580 AND step >= 100")(lambda w: extras.memory_history(w, 20_580, 100, start=100))
 _query("ext_memory_accessors", ("mem_writes", "mem_reads"), """
 SELECT thread_id, CAST(sum(w) AS BIGINT) AS n_writes, CAST(sum(1 - w) AS BIGINT) AS n_reads FROM (SELECT thread_id, 1 AS w, address, size FROM tr_mem_writes UNION ALL SELECT thread_id, 0, address, size FROM tr_mem_reads) z
 WHERE address < 20680 AND address + size > 20580 GROUP BY 1""")(lambda w, r: extras.memory_accessors(w, r, 20_580, 100))
