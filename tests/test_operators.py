@@ -12,6 +12,12 @@ CALLS = "seq long, ord long, thread_id int, event_type string, callee_address lo
 ACCESS = "step long, ord long, thread_id int, address long, size long"
 
 
+@pytest.fixture(autouse=True)
+def short_slices(monkeypatch):
+    """Histories are cut every four steps here, so what is carried from slice to slice is tested throughout."""
+    monkeypatch.setattr(kernels, "SLICE", 4)
+
+
 def sync(spark, *rows):
     return spark.createDataFrame([(s, n, t, k, a, r, w) for n, (s, t, k, a, r, w) in enumerate(rows)], SYNC)
 
@@ -137,6 +143,28 @@ def test_has_sync_is_the_quantified_form(spark, seed):
     assert all(r.has_sync == bool(touch(r.thread_id, r.step, r.until) & touch(r.other, r.step, r.until)) for r in got)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_active_function_is_the_last_call_before(spark, seed):
+    pick = random.Random(seed)
+    calls = [(pick.randrange(-20, 60), k, pick.choice([1, 2, None]), "Call", pick.randrange(9), 0, 0) for k in range(25)]
+    probes = [(s, t) for s in range(-25, 70, 2) for t in (1, 2, 3)]
+    got = asof.active_function(spark.createDataFrame(probes, "step long, thread_id int"), spark.createDataFrame(calls, CALLS)).collect()
+    last = lambda s, t: max(((c[0], c[1], c[4]) for c in calls if c[2] == t and c[0] <= s), default=(0, 0, None))[2]
+    assert sorted((r.step, r.thread_id) for r in got) == sorted(probes)
+    assert all(r.active_function == last(r.step, r.thread_id) for r in got)
+
+
+def test_no_task_orders_a_whole_history(spark):
+    """One thread's events meet in tasks by slice, and only a row for each slice is ordered by the thread alone."""
+    rows = spark.range(0, 4096, 1, 4).selectExpr("id as step", "id as ord", "1 as thread_id", "if(id % 2 = 0, 'MutexLock', 'MutexUnlock') as sync_type", "7L as sync_object_addr", "'Success' as result", "0L as wait_duration_ns")
+    keys = ["sync_object_addr", "thread_id"]
+    for found in (kernels.hold_intervals(rows), kernels.neighbours(rows, keys, ["step", "ord"], True, next="step"), kernels.least_later(rows, keys, ["step", "ord"], "step", "low")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        orders = [line for line in plan.splitlines() if "Window [" in line and "__slice" not in line.split("], [")[1]]
+        assert "__slice" in plan and all("__sum" in o or "__low" in o or "__edge" in o for o in orders), orders
+    assert kernels.hold_intervals(rows).agg(F.count(F.lit(1)), F.sum(F.expr("end_step - start_step"))).first() == (2048, 2048)
+
+
 def test_overlap_of_wide_and_empty_accesses(spark):
     left, right = access(spark, (1, 1, 0, 9000), (1, 1, 20000, 0)), access(spark, (2, 2, 4096, 4), (2, 2, 8999, 10), (2, 2, 9000, 4), (2, 2, 19990, 20))
     got = sorted((r.a_address, r.b_address) for r in pairs.overlapping(left, right).collect())

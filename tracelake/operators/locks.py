@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ordered
 from ..schemas import ACQUIRES, SHARED_ACQUIRES
-from .kernels import hold_intervals
+from .kernels import hold_intervals, least_later
 
 #: Cycles of more locks than this raise an error instead of being missed.
 LONGEST_CYCLE = 1000
@@ -36,8 +36,7 @@ def lock_order(sync: DataFrame) -> DataFrame:
         "thread_id", "taken", F.col("start_step").alias("at"), F.col("start_ord").alias("ord"), F.struct("held", "until").alias("span"), F.lit(None).cast("long").alias("hit")
     )
     known = acquires.select("thread_id", "taken", F.col("step").alias("at"), "ord", F.lit(None).cast(asked.schema["span"].dataType).alias("span"), F.col("step").cast("long").alias("hit"))
-    later = Window.partitionBy("thread_id", "taken").orderBy(F.desc("at"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
-    found = asked.unionByName(known).withColumn("next", F.min("hit").over(later)).where("span is not null and next <= span.until")
+    found = least_later(asked.unionByName(known), ["thread_id", "taken"], ["at", "ord"], "hit", "next").where("span is not null and next <= span.until")
     return found.select(F.col("span.held").alias("held"), "taken", "thread_id").distinct()
 
 

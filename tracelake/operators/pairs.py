@@ -12,11 +12,12 @@ all accesses, and it bounds the join instead of a lookup for each pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import end_of, ordered
 from .asof import active_function
+from .kernels import least_later, neighbours
 
 GRAIN = 16
 NEVER = (1 << 63) - 1
@@ -68,8 +69,7 @@ def sync_intervals(sync: DataFrame) -> DataFrame:
     merged = events.join(others, "lock").where("thread_id <> other").select(
         "lock", F.least("thread_id", "other").alias("low_thread"), F.greatest("thread_id", "other").alias("high_thread"), "thread_id", "step"
     )
-    order = Window.partitionBy("low_thread", "high_thread", "lock").orderBy("step", "thread_id")
-    rows = merged.withColumns({"before": F.lag("thread_id").over(order), "start": F.lag("step").over(order)})
+    rows = neighbours(merged, ["low_thread", "high_thread", "lock"], ["step", "thread_id"], False, before="thread_id", start="step")
     return rows.where("before <> thread_id").groupBy("low_thread", "high_thread", "start").agg(F.min("step").alias("end"))
 
 
@@ -81,9 +81,8 @@ def first_sync(probes: DataFrame, sync: DataFrame) -> DataFrame:
     known = sync_intervals(sync).select(
         F.col("low_thread").alias("low"), F.col("high_thread").alias("high"), F.col("start").alias("at"), F.col("end").cast("long").alias("end"), F.lit(None).cast(asked.schema["probe"].dataType).alias("probe")
     )
-    # From the latest start down, all rows of one step together.
-    later = Window.partitionBy("low", "high").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
-    return asked.unionByName(known).withColumn("first_sync", F.min("end").over(later)).where("probe is not null").select("probe.*", "first_sync")
+    found = least_later(asked.unionByName(known), ["low", "high"], ["at"], "end", "first_sync", at_once=True)
+    return found.where("probe is not null").select("probe.*", "first_sync")
 
 
 def has_sync(probes: DataFrame, sync: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import lock_holds, reflected_depth
+from .kernels import least_later, lock_holds, reflected_depth
 
 
 def call_stacks(calls: DataFrame, step: int, thread_id: int | None = None) -> DataFrame:
@@ -22,8 +22,7 @@ def call_stacks(calls: DataFrame, step: int, thread_id: int | None = None) -> Da
     moves = rows.select("thread_id", "seq", "ord", "callee_func_id", "callee_address", "caller_address", F.explode(ops).alias("m")).select("*", "m.op", "m.change").drop("m")
     order = ["seq", "ord", "op"]
     depths = reflected_depth(moves, ["thread_id"], order, F.col("change"))
-    later = Window.partitionBy("thread_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    live = depths.withColumn("lowest", F.min("depth").over(later)).where("change = 1 and (lowest is null or lowest >= depth)")
+    live = least_later(depths, ["thread_id"], order, "depth", "lowest").where("change = 1 and (lowest is null or lowest >= depth)")
     return live.select(
         "thread_id", (F.col("depth") - 1).alias("depth"), F.col("callee_func_id").alias("func_id"), F.col("callee_address").alias("entry_address"),
         F.col("caller_address").alias("call_site"), F.col("seq").alias("call_seq"),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ordered
 from ..schemas import ACQUIRES, INVOLUNTARY, RELEASES, VOLUNTARY, WAITING_STATES, is_contended, primitive_kind
 from .asof import active_function, function_names
-from .kernels import hold_intervals
+from .kernels import hold_intervals, neighbours
 from .lookups import registered
 
 
@@ -139,8 +139,7 @@ def scheduling(switches: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("role"), F.col("to_thread").alias("thread_id"), F.col("cpu_core").cast("long").alias("core")),
     )
     parts = switches.select("step", "ord", "switch_reason", F.explode(sides).alias("s")).select("step", "ord", "switch_reason", "s.*")
-    order = Window.partitionBy("thread_id").orderBy("step", "ord", "role")
-    before = parts.withColumns({"was": F.lag("role").over(order), "on": F.lag("core").over(order), "since": F.lag("step").over(order)})
+    before = neighbours(parts, ["thread_id"], ["step", "ord", "role"], False, was="role", on="core", since="step")
     stayed = F.when((F.col("role") == 0) & (F.col("was") == 1), F.col("on"))
     rows = before.withColumns({"stayed": stayed, "steps": F.when(stayed.isNotNull(), F.col("step") - F.col("since"))})
     cores = rows.where("stayed is not null").groupBy("thread_id", "stayed").agg(F.sum("steps").alias("steps")).groupBy("thread_id").agg(
@@ -193,9 +192,8 @@ def state_residency(threads: DataFrame, states: DataFrame) -> DataFrame:
     A state lasts to the next change, the last one to the thread's exit, or no time without one.
     time_in_state has (state, steps) by name, without those of no time.
     """
-    order = Window.partitionBy("thread_id").orderBy("step", "ord")
     exits = registered(threads).select(F.col("thread_id").alias("of"), "exit_step")
-    rows = states.withColumn("next", F.lead("step").over(order)).join(exits, F.col("thread_id") == F.col("of"), "left")
+    rows = neighbours(states, ["thread_id"], ["step", "ord"], True, next="step").join(exits, F.col("thread_id") == F.col("of"), "left")
     steps = F.greatest(F.lit(0), F.coalesce("next", "exit_step", "step") - F.col("step"))
     each = rows.withColumn("steps", steps).groupBy("thread_id", "new_state").agg(F.count(F.lit(1)).alias("n"), F.sum("steps").alias("steps"), F.max(F.struct("step", "ord")).alias("last"))
     waiting = F.col("new_state").isin(*WAITING_STATES)
