@@ -71,3 +71,36 @@ def test_translation_log(spark):
     ran = ["Trace 0x1 [0000000000401000] main", "Trace 0x2 [0000000000400ff0]", "Trace 0x3 [00000000deadbeef]", "Trace 0x1 [0000000000401000] main"]
     found = logs.READERS["qemu"](lines.from_texts(spark, [*block, ran[0], *other, *ran[1:]]), 0x400FF0, 0x14)
     assert got(found, "instructions", "seq", "thread_id", "address") == [(1, 1, 0x10), (2, 1, 0), (3, 1, 0x10)]
+
+
+def test_profile(spark):
+    told = ["version: 1", "fn=(1) main", "1000 3", "1004 1", "cfn=(2)", "calls=2 0x1010", "1008 9", "100c 1", "calls=1 2000", "fn=(2) helper", "calls=1 1000", "1010 5", "1014 2", "calls=1 +3", "1018 1", "* 4", "cfn=(1)", "calls=1 ffffffff81000000", "ffffffff81000010 4 4"]
+    found = logs.read_profile(lines.from_texts(spark, told))
+    assert got(found, "instructions", "seq", "address") == [(1, 0x1000), (2, 0x1004), (4, 0x100C), (6, 0x1014), (7, 0x1018)]
+    assert got(found, "calls", "seq", "caller_address", "callee_address") == [(3, 0x1000, 0x1010), (5, 0, 0x1000), (8, 0x1014, 0xFFFFFFFF81000000 - (1 << 64))]
+    assert got(found, "threads", "thread_id", "create_step") == [(1, 0)]
+    assert logs.read_profile(lines.from_texts(spark, ["fn=x"]))["calls"].count() == 0
+
+
+def test_bytecode_listing(spark):
+    told = [
+        "Class #0 -", "  Class descriptor  : 'La/B;'", "    #0              : (in La/B;)", "      name          : 'f'", "      type          : '()V'", "      access        : 0x0009 (PUBLIC STATIC)", "      code          -",
+        "000158:                                        |[000158] a.B.f:()V", "000168: 7100 0100 0000                         |0000: invoke-static {}, La/B;->g(I)V // method@0001", "00016e: 0e00                                   |0003: return-void", "      catches       : (none)", "0001: nop",
+        "    #1              : (in La/B;)", "      name          : 'n'", "      type          : '()V'", "      code          : (none)", "    #2              : (in La/B;)", "      name          : 'g'", "      type          : '(I)V'", "      code          -", "      insns         :",
+        "        0000: const/4 v0, #int 0", "        0001: invoke-virtual/range {v0}, Lx/Y;->h()I",
+    ]
+    found = logs.READERS["dexdump"](lines.from_texts(spark, told))
+    assert got(found, "instructions", "seq", "address", "is_branch") == [(1, 0, True), (2, 3, True), (3, 0, False), (4, 1, True)]
+    assert got(found, "calls", "seq", "caller_address", "callee_address") == [(1, 0, 3), (4, 1, 0)]
+    assert got(found, "threads", "thread_id") == [(1,)]
+    assert logs.read_bytecode_listing(lines.from_texts(spark, ["name : 'f'"]))["instructions"].count() == 0
+
+
+def test_kernel_addresses_in_logs(spark):
+    high = 0xFFFFFFFF81000000 - (1 << 64)
+    samples = logs.read_samples(lines.from_texts(spark, ["prog 7 1.5:  10 cycles:", "  ffffffff81000000 b (kernel)", "  10 a (lib)"]))
+    assert got(samples, "calls", "caller_address", "callee_address") == [(0x10, high)]
+    listing = logs.read_listing(lines.from_texts(spark, ["ffffffff81000000 <start>:", "ffffffff81000000:\t55                   \tpush   %rbp"]))
+    assert got(listing, "instructions", "address") == got(listing, "functions", "offset") == [(high,)]
+    near = logs.read_memory_checker(lines.from_texts(spark, [" L ffffffff81000008,8", " L 10,8"]), 0xFFFFFFFF81000000, 16)
+    assert got(near, "memory_reads", "step", "address") == [(1, 8)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import labelled, ordered, parse_addr, to_so_offset, wrapped
+from ..functions.scalars import labelled, ordered, parse_addr, signed, to_so_offset, wrapped
 from .jsonl import _small, _table
 from .lines import announced, counted, once, summed
 
@@ -33,6 +33,11 @@ TRANSLATED_BRANCHES = (
     "b", "bl", "br", "blr", "ret", "eret", "cbz", "cbnz", "tbz", "tbnz", "beq", "bne", "blt", "bgt", "ble", "bge", "bhi", "blo", "bpl", "bmi", "bvs", "bvc", "bcs", "bcc", "bhs", "bls", "bal", "bnv",
     "jmp", "je", "jne", "jz", "jnz", "jl", "jle", "jg", "jge", "ja", "jae", "jb", "jbe", "js", "jns", "jo", "jno", "jp", "jnp", "jcxz", "jecxz", "jrcxz", "call", "retn", "retf", "loop", "loope", "loopne",
 )
+INVOKES = tuple(f"invoke-{kind}{form}" for kind in ("virtual", "static", "interface", "direct", "super", "polymorphic", "custom") for form in ("", "/range"))
+BYTECODE_BRANCHES = (
+    "if-eq", "if-ne", "if-lt", "if-ge", "if-gt", "if-le", "if-eqz", "if-nez", "if-ltz", "if-gez", "if-gtz", "if-lez", "goto", "goto/16", "goto/32", "packed-switch", "sparse-switch",
+    "return", "return-void", "return-wide", "return-object", "throw",
+)
 _BRANCHES = r"^(b|bl|blr|br|ret|retq|cbn?z|tbn?z|b\.\w+|bx|blx|call\w*|j\w+|loop\w*)$"
 _CALLS = r"^(bl|blr|blx|call\w*)$"
 
@@ -50,10 +55,11 @@ def read_memory_checker(lines: DataFrame, base: int = 0, size: int = 0) -> dict[
     """
     pattern = r"^(?:==\d+==\s+)?([A-Z])\s+([0-9a-fA-F]+),(\d+)"
     rows = once(lines, "kind", F.regexp_extract("line", pattern, 1)).where(F.col("kind") != "")
-    rows = once(rows, "at", _hex("line", pattern, 2).cast("long"))
+    rows = once(rows, "at", wrapped(_hex("line", pattern, 2)))
     if base:
-        rows = rows.where((F.col("at") >= base) & (F.col("at") < base + size))
-    rows = counted(rows, "n", F.lit(True)).withColumns({"seq": F.col("n") + 1, "size": F.regexp_extract("line", pattern, 3).cast("long"), "at": F.col("at") - base})
+        at = ordered(F.col("at"))
+        rows = rows.where((at >= base - (1 << 63)) & (at < base + size - (1 << 63)))
+    rows = counted(rows, "n", F.lit(True)).withColumns({"seq": F.col("n") + 1, "size": F.regexp_extract("line", pattern, 3).cast("long"), "at": F.col("at") - signed(base)})
     zeros = F.unhex(F.repeat(F.lit("00"), F.least("size", F.lit(8)).cast("int")))
     one = F.lit(1)
     tables = {
@@ -109,7 +115,7 @@ def read_listing(lines: DataFrame) -> dict[str, DataFrame]:
     header = r"^([0-9a-fA-F]+)\s+<([^>]+)>:"
     pattern = r"^([0-9a-fA-F]+):\s+(?:(?:[0-9a-fA-F]{2}\s)+|(?:[0-9a-fA-F]{8}\s)+)\s*([a-zA-Z][\w.]*)\s*(.*)$"
     heads = lines.where(F.col("line").rlike(header))
-    functions = heads.select("ord", _hex("line", header).cast("long").alias("offset"), F.lit(0).cast("long").alias("size"), F.regexp_extract("line", header, 2).alias("name"))
+    functions = heads.select("ord", wrapped(_hex("line", header)).alias("offset"), F.lit(0).cast("long").alias("size"), F.regexp_extract("line", header, 2).alias("name"))
     rows = lines.where(F.col("line").rlike(pattern))
     rows = once(once(rows, "mnemonic", F.lower(F.regexp_extract("line", pattern, 2))), "at", _hex("line", pattern))
     rows = counted(rows, "n", F.lit(True)).withColumn("seq", F.col("n") + 1)
@@ -130,7 +136,7 @@ def read_samples(lines: DataFrame) -> dict[str, DataFrame]:
     """
     header, frame = r"^\S.*?\s+(\d+)(?:/\d+)?\s+[\d.]+:\s", r"^([0-9a-fA-F]+)\s+(\S+)\s+\(([^)]+)\)"
     rows = once(lines, "pid", F.regexp_extract("line", header, 1).try_cast("long"))
-    rows = once(rows, "at", F.when(F.col("pid").isNull() & ~F.col("line").contains("[unknown]"), _hex("line", frame).cast("long")))
+    rows = once(rows, "at", F.when(F.col("pid").isNull() & ~F.col("line").contains("[unknown]"), wrapped(_hex("line", frame))))
     rows = counted(rows.where("pid is not null or at is not null"), "before", F.col("pid").isNotNull())
     rows = rows.withColumn("sample", F.when(F.col("pid").isNotNull(), F.col("before") + 1).otherwise(F.col("before")))
     samples = rows.groupBy("sample").agg(
@@ -222,10 +228,89 @@ def read_translation_log(lines: DataFrame, base: int = 0, size: int = 0) -> dict
     return tables | {"threads": announced(tables, at_start=True)}
 
 
+def read_profile(lines: DataFrame) -> dict[str, DataFrame]:
+    """A call-graph profile: "fn=.." begins a function, "1a2b 3 4" is an address with costs, "calls=2 1010" tells that the next one is a call's.
+
+    An address with costs is a step, counted from 1 as thread 1: an instruction, or a call to the address told
+    right before it, from the function's first instruction address above (0 without one). "fn=" and "cfn=" take
+    back what "calls=" told. Relative addresses ("+3", "*") are passed over.
+    """
+    cost, told = r"^([0-9a-fA-F]{1,16})\s+\d", r"^calls=\S*\s+(?:0[xX])?([0-9a-fA-F]{1,16})(?:\s|$)"
+    kind = F.when(F.col("line").startswith("fn="), "fn").when(F.col("line").startswith("cfn="), "cfn").when(F.col("line").rlike(r"^calls=\S*\s"), "calls").when(F.col("line").rlike(cost), "cost")
+    rows = once(lines, "kind", kind).where("kind is not null")
+    rows = once(rows, "at", wrapped(F.when(F.col("kind") == "cost", _hex("line", cost)).when(F.col("kind") == "calls", _hex("line", told))))
+    rows = counted(counted(rows, "n", F.col("kind") == "cost"), "heads", F.col("kind") != "cost").withColumn("seq", F.col("n") + 1)
+    rows = counted(rows, "functions", F.col("kind") == "fn")
+    costs = rows.where("kind = 'cost'").select("ord", "part", "seq", "at", "heads", "functions")
+    targets = rows.where("kind = 'calls' and at <> 0").select((F.col("heads") + 1).alias("head"), F.col("at").alias("callee"))
+    firsts = costs.groupBy(F.col("heads").alias("of")).agg(F.min("ord").alias("first")).join(targets, F.col("of") == F.col("head")).select("first", "callee")
+    costs = costs.join(firsts, F.col("ord") == F.col("first"), "left")
+    run = costs.where("callee is null")
+    entries = run.where("at <> 0").groupBy(F.col("functions").alias("function")).agg(F.min(F.struct("seq", "at")).alias("entry"))
+    made = costs.where("callee is not null").join(entries, F.col("functions") == F.col("function"), "left")
+    caller = F.coalesce(F.when(F.col("entry.seq") < F.col("seq"), F.col("entry.at")), F.lit(0))
+    one = F.lit(1)
+    tables = {
+        "instructions": _table("INSTRUCTIONS", run, seq=F.col("seq"), thread_id=one, address=F.col("at"), is_branch=F.lit(False), branch_taken=F.lit(False)),
+        "calls": _table("CALLS", made, id=F.lit(0), thread_id=one, event_type=F.lit("Call"), caller_address=caller, callee_address=F.col("callee"), seq=F.col("seq"), depth=F.lit(0)),
+    }
+    return tables | {"threads": announced(tables, at_start=True)}
+
+
+def read_bytecode_listing(lines: DataFrame) -> dict[str, DataFrame]:
+    """A listing of bytecode: "Class descriptor : 'La/B;'", "#0 : (in La/B;)", "name : 'f'", "type : '()V'", and below "code -" lines "000abc: 6e10 .. |0000: invoke-static {}, La/B;.f:()V // .." or, below "insns :", "0000: nop".
+
+    An instruction is a step, counted from 1 as thread 1, at its offset within the method; only methods with a class and a
+    name count, and what calls or jumps is a branch. A callee goes by the step of its first instruction, 0 if it is not in the
+    listing; of methods listed twice the last with code counts.
+    """
+    part = lambda pattern, k=1: F.regexp_extract("line", pattern, k)
+    of_class, of_name, of_type = r"Class descriptor\s*:\s*'L([^;]+);'", r"^name\s*:\s*'([^']+)'", r"^type\s*:\s*'([^']+)'"
+    full, plain = r"\|([0-9a-fA-F]{1,8}):\s+(\S+)(.*)", r"^([0-9a-fA-F]{4,8}): (\S+)(.*)"
+    line = F.col("line")
+    kind = (
+        F.when(line.rlike(of_class), "class").when(line.rlike(r"^#\d+\s+:"), "method").when(line.rlike(of_name), "name").when(line.rlike(of_type), "type")
+        .when(line.rlike(r"^code\s+-$"), "code").when(line.rlike(r"^code\s*:\s*\(none\)|^catches\s*:"), "over").when(line.rlike(r"^insns\s*:"), "insns").when(line.rlike(full), "full").when(line.rlike(plain), "plain")
+    )
+    rows = once(lines, "kind", kind).where("kind is not null")
+    text = F.when(F.col("kind") == "class", part(of_class)).when(F.col("kind") == "name", part(of_name)).when(F.col("kind") == "type", part(of_type))
+    rows = once(rows, "text", text)
+    # Methods and classes by the number of their headings; a class ends a method too.
+    rows = counted(rows, "m", F.col("kind").isin("class", "method")).withColumn("m", F.col("m") + F.col("kind").isin("class", "method").cast("int"))
+    rows = counted(rows, "c", F.col("kind") == "class")
+    classes = rows.where("kind = 'class'").select((F.col("c") + 1).alias("class"), F.col("text").alias("of"))
+    last = lambda k: F.max(F.when(F.col("kind") == k, F.struct("ord", "text")))["text"]
+    methods = rows.groupBy("m").agg(last("name").alias("name"), F.coalesce(last("type"), F.lit("")).alias("type"), F.max("c").alias("class")).where("name is not null").join(classes, "class")
+    methods = methods.select(F.col("m").alias("method"), F.concat("of", F.lit("->"), "name", "type").alias("full_name"))
+    # What is code: behind "code -" up to its end; "insns :" opens the plain form until the next method or code.
+    switch = rows.where(F.col("kind").isin("code", "over", "insns")).groupBy("m").agg(F.sort_array(F.collect_list(F.struct("ord", "kind"))).alias("marks"))
+    found = rows.where("kind in ('full', 'plain')").join(methods, F.col("m") == F.col("method")).join(switch.withColumnRenamed("m", "marked"), F.col("m") == F.col("marked"))
+    earlier = F.filter("marks", lambda x: x["ord"] < F.col("ord"))
+    state = F.aggregate(earlier, F.lit(""), lambda now, x: F.when(x["kind"] == "code", "code").when(x["kind"] == "over", "").when((now != "") & (x["kind"] == "insns"), "insns").otherwise(now))
+    found = once(found, "state", state).where("state = 'insns' or (state = 'code' and kind = 'full')")
+    form = lambda k: F.when(F.col("kind") == "full", part(full, k)).otherwise(part(plain, k))
+    found = once(once(once(found, "at", F.conv(form(1), 16, 10).cast("long")), "opcode", F.lower(form(2))), "operands", F.trim(F.regexp_replace(form(3), r"\s*//.*$", "")))
+    found = counted(found.select("ord", "part", "full_name", "at", "opcode", "operands", "method"), "n", F.lit(True)).withColumn("seq", F.col("n") + 1)
+    starts = found.groupBy("full_name", "method").agg(F.min("seq").alias("start")).groupBy(F.col("full_name").alias("callee")).agg(F.max_by("start", "method").alias("start"))
+    target = r"L([^;]+);->([^(]+)(\([^)]*\)\S+)"
+    invoked = found.where(F.col("opcode").isin(*INVOKES)).withColumn("wanted", F.concat(F.regexp_extract("operands", target, 1), F.lit("->"), F.regexp_extract("operands", target, 2), F.regexp_extract("operands", target, 3)))
+    invoked = invoked.join(starts, F.col("wanted") == F.col("callee"), "left")
+    one = F.lit(1)
+    threads = lines.sparkSession.range(1).select(F.lit(0).cast("long").alias("ord"))
+    zero = F.lit(0)
+    return {
+        "instructions": _table("INSTRUCTIONS", found, seq=F.col("seq"), thread_id=one, address=F.col("at"), is_branch=F.col("opcode").isin(*INVOKES, *BYTECODE_BRANCHES), branch_taken=F.lit(False)),
+        "calls": _table("CALLS", invoked, id=zero, thread_id=one, event_type=F.lit("Call"), caller_address=F.col("at"), callee_address=F.coalesce("start", zero), seq=F.col("seq"), depth=zero),
+        "threads": _table("THREADS", threads, thread_id=one, parent_thread_id=zero, create_step=zero, stack_base=zero, stack_size=zero, tls_addr=zero, is_jni_attached=F.lit(False)),
+    }
+
+
 READERS = {
     "memory-checker": read_memory_checker, "calls-log": read_calls_log, "listing": read_listing, "samples": read_samples, "race-report": read_race_report, "translation-log": read_translation_log,
+    "profile": read_profile, "bytecode-listing": read_bytecode_listing,
 }
 #: The same by the names of tools that write so.
 READERS |= {
     "lackey": read_memory_checker, "strace": read_calls_log, "ltrace": read_calls_log, "objdump": read_listing, "perf-script": read_samples, "tsan": read_race_report, "qemu": read_translation_log,
+    "callgrind": read_profile, "dexdump": read_bytecode_listing,
 }
