@@ -159,9 +159,12 @@ def test_no_task_orders_a_whole_history(spark):
     rows = spark.range(0, 4096, 1, 4).selectExpr("id as step", "id as ord", "1 as thread_id", "if(id % 2 = 0, 'MutexLock', 'MutexUnlock') as sync_type", "7L as sync_object_addr", "'Success' as result", "0L as wait_duration_ns")
     keys = ["sync_object_addr", "thread_id"]
     for found in (kernels.hold_intervals(rows), kernels.neighbours(rows, keys, ["step", "ord"], True, next="step"), kernels.least_later(rows, keys, ["step", "ord"], "step", "low")):
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        orders = [line for line in plan.splitlines() if "Window [" in line and "__slice" not in line.split("], [")[1]]
-        assert "__slice" in plan and all("__sum" in o or "__low" in o or "__edge" in o for o in orders), orders
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        orders = [k for k, line in enumerate(plan) if "Window [" in line and "__group" not in line.split("], [")[1]]
+        below = [next(line for line in plan[k + 1 :] if any(w in line for w in ("Aggregate", "Join", "Range ("))) for k in orders]
+        assert orders and all("Aggregate" in line for line in below), below
+    unknown = rows.withColumn("thread_id", F.lit(None).cast("int"))  # events of no thread are one history too
+    assert kernels.hold_intervals(unknown).agg(F.count(F.lit(1)), F.sum(F.expr("end_step - start_step"))).first() == (2048, 2048)
     assert kernels.hold_intervals(rows).agg(F.count(F.lit(1)), F.sum(F.expr("end_step - start_step"))).first() == (2048, 2048)
 
 

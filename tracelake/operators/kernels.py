@@ -15,14 +15,21 @@ def slice_of(step: str) -> Column:
     return F.shiftright(F.col(step).cast("long"), SLICE.bit_length() - 1)
 
 
-def _with_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of carried, a row for each of keys and slice, that are not among them; nulls match."""
-    at = [*keys, "__slice"]
-    renamed = carried.withColumnsRenamed({k: f"__j{i}" for i, k in enumerate(at)})
-    same = F.lit(True)
-    for i, k in enumerate(at):
-        same = same & rows[k].eqNullSafe(renamed[f"__j{i}"])
-    return rows.join(renamed, same, "left").drop(*(f"__j{i}" for i in range(len(at))))
+def _grouped(rows: DataFrame, keys: list[str], step: str) -> DataFrame:
+    """rows with __group, keys and slice in one value that is never null, so joins on it match nulls and take the windows' partitions as they are."""
+    return rows.withColumn("__group", F.struct(*keys, slice_of(step).alias("__slice")))
+
+
+def _over_slices(keys: list[str], behind: bool = False):
+    """A window over rows of __group, a key's slices in order, from the last on if behind."""
+    at = F.col("__group")["__slice"]
+    return Window.partitionBy(*(F.col("__group")[k] for k in keys)).orderBy(at.desc() if behind else at)
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """rows with the columns that carried has for their group."""
+    renamed = carried.withColumnRenamed("__group", "__of")
+    return rows.join(renamed, F.col("__group") == F.col("__of"), "left").drop("__group", "__of")
 
 
 def asof_last(probes: DataFrame, facts: DataFrame, keys: list[str], probe_order: str, fact_order: list[str], *values: str) -> DataFrame:
@@ -59,27 +66,26 @@ def asof_last(probes: DataFrame, facts: DataFrame, keys: list[str], probe_order:
     return out.select(*(F.col(f"__probe.{n}").alias(n) for n in names), *(F.col(f"__found.{v}").alias(v) for v in values))
 
 
-def reflected_depth(rows: DataFrame, keys: list[str], order: list[str], change: Column) -> DataFrame:
+def reflected_depth(rows: DataFrame, keys: list[str], order: list[str], change: str) -> DataFrame:
     """rows with depth, the running sum of change that never falls below zero, and depth_before, the same without the row.
 
     What would take it below is lost, as with a pop from an empty stack: the plain running sum is
     lifted by its lowest value so far. order begins with a step; each slice has the sum and the
     lowest value of those before it from one row.
     """
-    parts = rows.withColumns({"__change": change, "__slice": slice_of(order[0])})
-    within = Window.partitionBy(*keys, "__slice").orderBy(*order)
+    parts = _grouped(rows, keys, order[0])
+    within = Window.partitionBy("__group").orderBy(*order)
     running = within.rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumn("__raw", F.sum("__change").over(running))
-    lows = local.groupBy(*keys, "__slice").agg(F.sum("__change").alias("__sum"), F.min("__raw").alias("__low"))
-    slices = Window.partitionBy(*keys).orderBy("__slice")
-    before = slices.rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.withColumn("__raw", F.sum(change).over(running))
+    lows = local.groupBy("__group").agg(F.sum(change).alias("__sum"), F.min("__raw").alias("__low"))
+    before = _over_slices(keys).rowsBetween(Window.unboundedPreceding, -1)
     lows = lows.withColumn("__sum_before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
     lows = lows.withColumn("__low_before", F.least(F.lit(0), F.min(F.col("__sum_before") + F.col("__low")).over(before)))
     local = local.withColumns({"__lowest": F.min("__raw").over(running), "__lowest_before": F.min("__raw").over(within.rowsBetween(Window.unboundedPreceding, -1))})
-    both = _with_carried(local, lows.drop("__sum", "__low"), keys)
+    both = _with_carried(local, lows.drop("__sum", "__low"))
     lifted = lambda raw, low: F.col("__sum_before") + raw - F.least("__low_before", F.col("__sum_before") + F.col(low))
-    depths = both.withColumns({"depth": lifted(F.col("__raw"), "__lowest"), "depth_before": lifted(F.col("__raw") - F.col("__change"), "__lowest_before")})
-    return depths.drop("__change", "__slice", "__raw", "__lowest", "__lowest_before", "__sum_before", "__low_before")
+    depths = both.withColumns({"depth": lifted(F.col("__raw"), "__lowest"), "depth_before": lifted(F.col("__raw") - F.col(change), "__lowest_before")})
+    return depths.drop("__raw", "__lowest", "__lowest_before", "__sum_before", "__low_before")
 
 
 def least_later(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, at_once: bool = False) -> DataFrame:
@@ -87,13 +93,13 @@ def least_later(rows: DataFrame, keys: list[str], order: list[str], value: str,
 
     order begins with a step. at_once counts the row itself and all rows of its step, whatever their order.
     """
-    parts = rows.withColumn("__slice", slice_of(order[0]))
-    within = Window.partitionBy(*keys, "__slice")
+    parts = _grouped(rows, keys, order[0])
+    within = Window.partitionBy("__group")
     behind = within.orderBy(F.desc(order[0])).rangeBetween(Window.unboundedPreceding, 0) if at_once else within.orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    beyond = Window.partitionBy(*keys).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
-    lows = parts.groupBy(*keys, "__slice").agg(F.min(value).alias("__low")).withColumn("__beyond", F.min("__low").over(beyond)).drop("__low")
-    both = _with_carried(parts.withColumn("__least", F.min(value).over(behind)), lows, keys)
-    return both.withColumn(name, F.least("__least", "__beyond")).drop("__slice", "__least", "__beyond")
+    beyond = _over_slices(keys, behind=True).rowsBetween(Window.unboundedPreceding, -1)
+    lows = parts.groupBy("__group").agg(F.min(value).alias("__low")).withColumn("__beyond", F.min("__low").over(beyond)).drop("__low")
+    both = _with_carried(parts.withColumn("__least", F.min(value).over(behind)), lows)
+    return both.withColumn(name, F.least("__least", "__beyond")).drop("__least", "__beyond")
 
 
 def neighbours(rows: DataFrame, keys: list[str], order: list[str], ahead: bool, **values: str) -> DataFrame:
@@ -101,17 +107,14 @@ def neighbours(rows: DataFrame, keys: list[str], order: list[str], ahead: bool,
 
     values names them: new column, column of the neighbour. order begins with a step.
     """
-    parts = rows.withColumn("__slice", slice_of(order[0]))
+    parts = _grouped(rows, keys, order[0])
     near = F.struct(*(F.col(v).alias(n) for n, v in values.items()))
-    within = Window.partitionBy(*keys, "__slice").orderBy(*order)
     at = F.struct(*order)
-    edge = F.min_by(near, at) if ahead else F.max_by(near, at)
-    slices = Window.partitionBy(*keys).orderBy("__slice")
-    step = F.lead if ahead else F.lag
-    edges = parts.groupBy(*keys, "__slice").agg(edge.alias("__edge")).withColumn("__beyond", step("__edge").over(slices)).drop("__edge")
-    both = _with_carried(parts.withColumn("__near", step(near).over(within)), edges, keys)
+    edge, step = (F.min_by(near, at), F.lead) if ahead else (F.max_by(near, at), F.lag)
+    edges = parts.groupBy("__group").agg(edge.alias("__edge")).withColumn("__beyond", step("__edge").over(_over_slices(keys))).drop("__edge")
+    both = _with_carried(parts.withColumn("__near", step(near).over(Window.partitionBy("__group").orderBy(*order))), edges)
     both = both.withColumn("__near", F.coalesce("__near", "__beyond"))
-    return both.withColumns({n: F.col(f"__near.{n}") for n in values}).drop("__slice", "__near", "__beyond")
+    return both.withColumns({n: F.col(f"__near.{n}") for n in values}).drop("__near", "__beyond")
 
 
 def lock_holds(sync: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def lock_holds(sync: DataFrame) -> DataFrame:
     change = F.when(F.col("sync_type").isin(*ACQUIRES) & (F.col("result") == "Success"), 1).when(F.col("sync_type").isin(*HOLD_RELEASES), -1)
     rows = sync.withColumn("change", change).where("change is not null")
     keys, order = ["sync_object_addr", "thread_id"], ["step", "ord"]
-    return reflected_depth(rows, keys, order, F.col("change"))
+    return reflected_depth(rows, keys, order, "change")
 
 
 def hold_intervals(sync: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def call_stacks(calls: DataFrame, step: int, thread_id: int | None = None) -> Da
     ops = F.when(F.col("event_type") == "Call", F.array(push)).when(F.col("event_type") == "Return", F.array(pop)).otherwise(F.array(pop, push))
     moves = rows.select("thread_id", "seq", "ord", "callee_func_id", "callee_address", "caller_address", F.explode(ops).alias("m")).select("*", "m.op", "m.change").drop("m")
     order = ["seq", "ord", "op"]
-    depths = reflected_depth(moves, ["thread_id"], order, F.col("change"))
+    depths = reflected_depth(moves, ["thread_id"], order, "change")
     live = least_later(depths, ["thread_id"], order, "depth", "lowest").where("change = 1 and (lowest is null or lowest >= depth)")
     return live.select(
         "thread_id", (F.col("depth") - 1).alias("depth"), F.col("callee_func_id").alias("func_id"), F.col("callee_address").alias("entry_address"),
