@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import end_of, ordered
 from .asof import active_function
 from .kernels import least_later, neighbours
+from .sweeps import first_reads
 
 GRAIN = 16
 NEVER = (1 << 63) - 1
@@ -166,20 +167,12 @@ def data_flows(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFram
     For each write, and each other thread, the thread's first later read that overlaps it.
     is_synchronized says whether both threads touched one lock between the two steps.
     """
-    pairs = overlapping(accesses(writes), accesses(reads), "w", "r").where("r_step > w_step")
-    first = pairs.groupBy(F.col("w_thread_id").alias("from_thread"), F.col("r_thread_id").alias("to_thread"), F.col("w_address").alias("address"), F.col("w_step").alias("write_step")).agg(
-        F.min(F.struct("w_ord", "r_step", "r_ord", "r_address", "r_size", "w_size")).alias("b")
-    )
-    rows = first.select("from_thread", "to_thread", "address", "write_step", F.col("b.r_step").alias("read_step"), F.col("b.w_size").alias("write_size"), F.col("b.r_size").alias("read_size"), F.col("b.r_address").alias("read_address"))
+    rows = first_reads(accesses(writes), accesses(reads), sync)
     start, begin = ordered(F.col("address")), ordered(F.col("read_address"))
     low, high = F.greatest(start, begin), F.least(end_of(start, F.col("write_size")), end_of(begin, F.col("read_size")))
-    rows = rows.withColumns({"overlap_address": ordered(low), "overlap_size": high - low}).drop("read_address")
-    asked = rows.withColumnRenamed("from_thread", "thread_id").withColumnRenamed("to_thread", "other").withColumnRenamed("write_step", "step").withColumnRenamed("read_step", "until")
-    done = has_sync(asked, sync)
-    return done.select(
-        F.col("thread_id").alias("from_thread"), F.col("other").alias("to_thread"), "address", F.col("step").alias("write_step"), F.col("until").alias("read_step"), "write_size", "read_size",
-        "overlap_address", "overlap_size", F.col("has_sync").alias("is_synchronized"),
-    )
+    return rows.withColumns({"overlap_address": ordered(low), "overlap_size": high - low}).select(
+        "from_thread", "to_thread", "address", "write_step", "read_step", "write_size", "read_size", "overlap_address", "overlap_size", "is_synchronized"
+    )
 
 
 def producer_consumer(flows: DataFrame, mechanisms: DataFrame) -> DataFrame:
