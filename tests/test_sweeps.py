@@ -58,3 +58,27 @@ def test_flows_join_no_pairs(spark):
     accesses = spark.createDataFrame([], ACCESS)
     plan = pairs.data_flows(accesses, accesses, spark.createDataFrame([], SYNC))._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "w_address" not in plan
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_races_are_the_replay(spark, seed):
+    writes, reads, events = made_up(seed)
+    want = set()
+    for f, first in [(a, True) for a in writes] + [(a, False) for a in reads]:
+        for s, second in [(a, True) for a in writes] + [(a, False) for a in reads]:
+            later = s[0] > f[0] or (s[0] == f[0] and first and (not second or f[2] < s[2]))
+            if (first or second) and later and meet(f, s) and not synced(events, f[2], s[2], f[0], s[0]):
+                want.add(((f if first else s)[3], f[0], f[2], s[0], s[2]))
+    empty = spark.createDataFrame([], CALLS)
+    got = pairs.races(*(spark.createDataFrame(rows, ACCESS) for rows in (writes, reads)), spark.createDataFrame(events, SYNC), empty).collect()
+    found = [(r.address, r.first_step, r.first_thread, r.second_step, r.second_thread) for r in got]
+    assert len(found) == len(want) and set(found) == want
+    assert any(b // 4 > a // 4 + 1 for _, a, _, b, _ in found)  # some lie slices apart
+
+
+def test_races_join_pairs_of_a_slice_only(spark):
+    """A busy grain's accesses are not joined over the whole history, only with slices before the next synchronisation."""
+    accesses = spark.createDataFrame([], ACCESS)
+    plan = pairs.races(accesses, accesses, spark.createDataFrame([], SYNC), spark.createDataFrame([], CALLS))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "s_grain" in line]
+    assert joins and all("s_slice" in line for line in joins)

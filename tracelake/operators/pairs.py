@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import end_of, ordered
 from .asof import active_function
 from .kernels import least_later, neighbours
-from .sweeps import first_reads
+from .sweeps import conflicts, first_reads
 
 GRAIN = 16
-NEVER = (1 << 63) - 1
 
 
 def accesses(rows: DataFrame) -> DataFrame:
@@ -91,28 +90,6 @@ def has_sync(probes: DataFrame, sync: DataFrame) -> DataFrame:
     return first_sync(probes, sync).withColumn("has_sync", F.coalesce(F.col("first_sync") <= F.col("until"), F.lit(False))).drop("first_sync")
 
 
-def _conflicts(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFrame:
-    """Overlapping pairs (f_, s_) by different threads, one a write, the second before any synchronisation from the first on.
-
-    A read at a write's step is second, of two writes at one step the higher thread's. For every
-    first access and every other thread that accesses one of its grains the bound is found, and one
-    join on grain and thread with a range of steps behind it finds all kinds of pairs.
-    """
-    both = accesses(writes).withColumn("write", F.lit(True)).unionByName(accesses(reads).withColumn("write", F.lit(False)))
-    firsts, seconds = _grained(both, "f"), _grained(both, "s")
-    present = seconds.groupBy("grain", F.col("s_thread_id").alias("other")).agg(F.bool_or("s_write").alias("writes"))
-    met = firsts.join(present, "grain").where("f_thread_id <> other and (f_write or writes)").drop("writes")
-    asked = met.select(F.col("f_step").alias("step"), F.col("f_thread_id").alias("thread_id"), "other").distinct()
-    bound = first_sync(asked, sync).select(F.col("step").alias("p_step"), F.col("thread_id").alias("p_thread"), F.col("other").alias("p_other"), F.coalesce("first_sync", F.lit(NEVER)).alias("bound"))
-    met = met.join(bound, (F.col("f_step") == F.col("p_step")) & (F.col("f_thread_id") == F.col("p_thread")) & (F.col("other") == F.col("p_other"))).drop("p_step", "p_thread", "p_other")
-    pairs = met.join(seconds.withColumnRenamed("s_thread_id", "other_thread").withColumnRenamed("grain", "s_grain"), (F.col("grain") == F.col("s_grain")) & (F.col("other") == F.col("other_thread")))
-    pairs = pairs.withColumn("s_thread_id", F.col("other"))
-    at_once = F.col("f_write") & (~F.col("s_write") | (F.col("f_thread_id") < F.col("s_thread_id")))
-    later = (F.col("s_step") > F.col("f_step")) | ((F.col("s_step") == F.col("f_step")) & at_once)
-    found = pairs.where(_overlap("f", "s") & (F.col("f_write") | F.col("s_write")) & later & (F.col("s_step") < F.col("bound")))
-    return found.drop("grain", "s_grain", "f_first", "s_first", "other", "other_thread", "bound")
-
-
 def races(writes: DataFrame, reads: DataFrame, sync: DataFrame, calls: DataFrame) -> DataFrame:
     """Unsynchronised conflicting accesses of different threads.
 
@@ -123,9 +100,10 @@ def races(writes: DataFrame, reads: DataFrame, sync: DataFrame, calls: DataFrame
     below 100 steps or 0.15 below 1000, plus 0.2 if both threads were in the same function then; at
     most 1, and times 0.8 between writes.
     """
-    pairs = _conflicts(writes, reads, sync).withColumnsRenamed({"f_write": "first_is_write", "s_write": "second_is_write"})
+    both = accesses(writes).withColumn("write", F.lit(True)).unionByName(accesses(reads).withColumn("write", F.lit(False)))
+    both = active_function(both, calls).withColumnRenamed("active_function", "function")
+    pairs = conflicts(both, sync).withColumnsRenamed({"f_write": "first_is_write", "s_write": "second_is_write"})
     pairs = pairs.withColumn("kind", F.when(~F.col("second_is_write"), 0).when(F.col("first_is_write"), 1).otherwise(2))
-    pairs = _with_functions(pairs, calls)
     gap = F.col("s_step") - F.col("f_step")
     base = F.lit(0.5) + F.when(gap < 100, 0.3).when(gap < 1000, 0.15).otherwise(0.0)
     base = base + F.when(F.col("f_function") == F.col("s_function"), 0.2).otherwise(0.0)
@@ -152,15 +130,6 @@ def races(writes: DataFrame, reads: DataFrame, sync: DataFrame, calls: DataFrame
     return one.withColumn("description", text).drop("kind", "first_address", "second_address")
 
 
-def _with_functions(pairs: DataFrame, calls: DataFrame) -> DataFrame:
-    """pairs with f_function and s_function, the function active on each side."""
-    for side in ("f", "s"):
-        asked = pairs.select(F.col(f"{side}_thread_id").alias("thread_id"), F.col(f"{side}_step").alias("step")).distinct()
-        found = active_function(asked, calls).select(F.col("thread_id").alias("at_thread"), F.col("step").alias("at_step"), F.col("active_function").alias(f"{side}_function"))
-        pairs = pairs.join(found, (F.col(f"{side}_thread_id") == F.col("at_thread")) & (F.col(f"{side}_step") == F.col("at_step")), "left").drop("at_thread", "at_step")
-    return pairs
-
-
 def data_flows(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFrame:
     """(from_thread, to_thread, address, write_step, read_step, write_size, read_size, overlap_address, overlap_size, is_synchronized).
 

@@ -23,7 +23,7 @@ SPAN = 1 << 16
 CHUNK = 1 << 21
 GRAIN = 16
 NEVER = (1 << 63) - 1
-WRITE, READ, SYNC = range(3)
+WRITE, READ, SYNC, LATER = range(4)
 
 
 def span() -> int:
@@ -34,12 +34,12 @@ def _slice(width: int) -> Column:
     return F.shiftright(F.col("step").cast("long"), width.bit_length() - 1)
 
 
-def _rows(accesses: DataFrame, tag: int, width: int) -> DataFrame:
+def _rows(accesses: DataFrame, tag: int | Column, width: int, *more: str) -> DataFrame:
     """Accesses as rows of a group. start and end are in order as signed numbers; one without a size reaches to the end of its grain."""
     start = ordered(F.col("address"))
     end = F.when(F.col("size").isNull(), end_of(start.bitwiseOR(F.lit(GRAIN - 1)), F.lit(1))).otherwise(end_of(start, F.col("size")))
     rows = accesses.where("step is not null and thread_id is not null and address is not null")
-    return rows.select(_slice(width).alias("slice"), F.lit(tag).alias("tag"), "step", "ord", "thread_id", "address", "size", start.alias("start"), end.alias("end"))
+    return rows.select(_slice(width).alias("slice"), (F.lit(tag) if isinstance(tag, int) else tag).alias("tag"), "step", "ord", "thread_id", "address", "size", start.alias("start"), end.alias("end"), *more)
 
 
 def _grain(address: Column) -> Column:
@@ -73,6 +73,21 @@ def _later_reads(writes: DataFrame, reads: DataFrame) -> DataFrame:
     return carried.select("slice", F.explode(F.array_distinct(F.array(*on))).alias("r")).where("r is not null").select("slice", *(F.col(f"r.{c}").alias(c) for c in fields))
 
 
+def _later_places(rows: DataFrame, width: int) -> DataFrame:
+    """For each slice, grain in it and thread that touches the grain behind the slice: the first step of that (step), the first of a write (ord) and the last (size)."""
+    parts = _grained(rows)
+    wrote = F.when(F.col("tag") == WRITE, F.col("step"))
+    sums = [F.min("first").alias("first"), F.min("first_write").alias("first_write"), F.max("last").alias("last")]
+    found = parts.groupBy("grain", "thread_id", "slice").agg(F.min("step").alias("first"), F.min(wrote).alias("first_write"), F.max("step").alias("last")).withColumn("asked", F.lit(False))
+    places = found.select("grain", "slice").distinct().join(found.select("grain", "thread_id").distinct(), "grain")
+    places = places.select("grain", "thread_id", "slice", *(F.lit(None).cast("long").alias(c) for c in ("first", "first_write", "last")), F.lit(True).alias("asked"))
+    each = found.select(*places.columns).unionByName(places).groupBy("grain", "thread_id", "slice").agg(*sums)
+    over = _before(["grain", "thread_id"])
+    carried = each.select("slice", "grain", "thread_id", F.min("first").over(over).alias("step"), F.min("first_write").over(over).alias("ord"), F.max("last").over(over).alias("size")).where("step is not null")
+    blank = F.lit(None).cast("long")
+    return carried.select("slice", F.lit(LATER).alias("tag"), "step", "ord", "thread_id", F.col("grain").alias("address"), "size", blank.alias("start"), blank.alias("end"))
+
+
 def _sync_rows(sync: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """Sync events as rows of a group, and each lock's and thread's first event behind each slice of rows."""
     events = sync.where("sync_object_addr is not null and thread_id is not null and step is not null").select(_slice(width).alias("slice"), F.col("sync_object_addr").alias("address"), "thread_id", F.col("step").cast("long").alias("step")).distinct()
@@ -157,7 +172,7 @@ class _Group:
         sync = self.tag == SYNC
         self.bounds = Bounds(self.address[sync], self.thread_id[sync], self.step[sync], self.base, width)
 
-    def batches(self, columns: dict[str, tuple[str, np.ndarray] | np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def batches(self, columns: dict) -> Iterator[pa.RecordBatch]:
         """Columns as they are, or of the rows at given places."""
         made = {n: pa.array(c) if isinstance(c, np.ndarray) else self.table.column(c[0]).take(pa.array(c[1])) for n, c in columns.items()}
         yield from pa.table(made).to_batches(max_chunksize=1 << 16)
@@ -228,3 +243,107 @@ def first_reads(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFra
     thread, step, address, size = (kind[c] for c in ("thread_id", "step", "address", "size"))
     schema = f"from_thread {thread}, to_thread {thread}, address {address}, write_step {step}, write_size {size}, read_step {step}, read_address {address}, read_size {size}, is_synchronized boolean"
     return rows.groupBy("slice").applyInArrow(found, schema)
+
+
+_SHIFT = GRAIN.bit_length() - 1
+
+
+def _conflicts(g: _Group) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of first and second accesses of a slice by different threads that overlap, one a write, the second before any synchronisation from the first on."""
+    rows = np.flatnonzero(g.tag <= READ)
+    if not rows.size:
+        return
+    low, high = g.start[rows] >> _SHIFT, np.maximum(g.start[rows], g.end[rows] - 1) >> _SHIFT
+    whose, nth = _spread(high - low + 1)
+    grain, at = low[whose] + nth, rows[whose]
+    place = np.unique(grain, return_inverse=True)[1]
+    threads, who = np.unique(g.thread_id[at], return_inverse=True)
+    n, wide, write = threads.size, g.bounds.wide, g.tag == WRITE
+    keys = (place * n + who) * wide + g.step[at] - g.base
+    order = np.argsort(keys, kind="stable")
+    # Seconds of any kind for first writes, and writes for first reads.
+    for firsts, seconds in ((np.flatnonzero(write[at]), order), (np.flatnonzero(~write[at]), order[write[at[order]]])):
+        known, one = keys[seconds], at[firsts]
+        for t in range(n):
+            bound = (np.minimum(g.bounds.after(g.thread_id[rows], np.full(rows.size, threads[t]), g.step[rows]), g.base + wide - 1) - g.base)[whose[firsts]]
+            group = (place[firsts] * n + t) * wide
+            since = np.searchsorted(known, group + g.step[one] - g.base)
+            count = np.where(who[firsts] == t, 0, np.maximum(np.searchsorted(known, group + bound) - since, 0))
+            some = np.flatnonzero(count)
+            for cut in _chunks(count[some]):
+                chosen = some[cut]
+                mine, nth = _spread(count[chosen])
+                mine = chosen[mine]
+                nth += since[mine]
+                f, s = one[mine], at[seconds[nth]]
+                once = grain[firsts[mine]] == np.maximum(g.start[f], g.start[s]) >> _SHIFT
+                at_once = write[f] & (~write[s] | (g.thread_id[f] < g.thread_id[s]))
+                ok = once & (g.start[f] < g.end[s]) & (g.start[s] < g.end[f]) & ((g.step[s] > g.step[f]) | at_once)
+                yield f[ok], s[ok]
+
+
+def _open(g: _Group) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of accesses and of later touches of a grain of theirs by another thread that come before any synchronisation, and the bound."""
+    rows, later = np.flatnonzero(g.tag <= READ), np.flatnonzero(g.tag == LATER)
+    if not rows.size or not later.size:
+        return
+    threads, who = np.unique(g.thread_id[later], return_inverse=True)
+    wrote = ~np.asarray(g.table.column("ord").is_null())
+    grains, place = np.unique(g.address[later], return_inverse=True)
+    order = np.argsort(place * threads.size + who)
+    later, keys = later[order], (place * threads.size + who)[order]
+    for t in range(threads.size):
+        bound = g.bounds.after(g.thread_id[rows], np.full(rows.size, threads[t]), g.step[rows])
+        some = np.flatnonzero((bound >= g.base + g.bounds.wide) & (g.thread_id[rows] != threads[t]))
+        low, high = g.start[rows[some]] >> _SHIFT, np.maximum(g.start[rows[some]], g.end[rows[some]] - 1) >> _SHIFT
+        for cut in _chunks(high - low + 1):
+            whose, nth = _spread((high - low + 1)[cut])
+            there = _places(grains, low[cut][whose] + nth)
+            found = np.where(there >= 0, _places(keys, there * threads.size + t), -1)
+            f, met = rows[some[cut][whose]], later[found]
+            first = np.where(g.tag[f] == WRITE, g.step[met], np.where(wrote[met], g.ord[met], NEVER))
+            ok = np.flatnonzero((found >= 0) & (first < bound[some[cut][whose]]))
+            yield f[ok], met[ok], bound[some[cut][whose]][ok]
+
+
+def conflicts(accesses: DataFrame, sync: DataFrame) -> DataFrame:
+    """Overlapping pairs (f_, s_) of accesses (with write and function) by different threads, one a write, the second before any synchronisation from the first on.
+
+    A read at a write's step is second, of two writes at one step the higher thread's. Pairs within a
+    slice are found there; a first access that no synchronisation follows in its slice meets the
+    later slices in which the other thread touches its grain.
+    """
+    reachable(accesses.sparkSession)
+    width = span()
+    own = _rows(accesses, F.when(F.col("write"), WRITE).otherwise(READ), width, "function")
+    kind = {f.name: f.dataType.simpleString() for f in own.schema}
+    others = _sync_rows(sync, own, width).unionByName(_later_places(own, width)).withColumn("function", F.lit(None).cast(kind["function"]))
+    rows = own.unionByName(others)
+    columns = ("step", "ord", "thread_id", "address", "size", "function")
+
+    def side(g: _Group, prefix: str, at: np.ndarray) -> dict:
+        return {f"{prefix}_{c}": (c, at) for c in columns} | {f"{prefix}_write": g.tag[at] == WRITE}
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = _Group(batches, width)
+        for f, s in _conflicts(g):
+            yield from g.batches(side(g, "f", f) | side(g, "s", s))
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = _Group(batches, width)
+        for f, met, bound in _open(g):
+            last = np.minimum(bound - 1, g.size[met])
+            first, last = g.step[met] // width, last // width
+            yield from g.batches(side(g, "f", f) | {"f_start": ("start", f), "f_end": ("end", f), "grain": ("address", met), "other": ("thread_id", met), "bound": bound, "first": first, "last": last})
+
+    fields = lambda p: f"{', '.join(f'{p}_{c} {kind[c]}' for c in columns)}, {p}_write boolean"
+    found = rows.groupBy("slice").applyInArrow(within, f"{fields('f')}, {fields('s')}")
+    left = rows.groupBy("slice").applyInArrow(beyond, f"{fields('f')}, f_start long, f_end long, grain long, other {kind['thread_id']}, bound long, first long, last long")
+    left = left.withColumn("slice", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    seconds = _grained(own).select(
+        *(F.col(c).alias(f"s_{c}") for c in columns), (F.col("tag") == WRITE).alias("s_write"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("slice").alias("s_slice"), F.col("grain").alias("s_grain")
+    )
+    late = left.join(seconds, (F.col("grain") == F.col("s_grain")) & (F.col("other") == F.col("s_thread_id")) & (F.col("slice") == F.col("s_slice")))
+    once = F.col("grain") == _grain(F.greatest("f_start", "s_start"))
+    late = late.where(once & (F.col("f_start") < F.col("s_end")) & (F.col("s_start") < F.col("f_end")) & (F.col("f_write") | F.col("s_write")) & (F.col("s_step") < F.col("bound")))
+    return found.unionByName(late.select(*found.columns))
