@@ -82,3 +82,21 @@ def test_races_join_pairs_of_a_slice_only(spark):
     plan = pairs.races(accesses, accesses, spark.createDataFrame([], SYNC), spark.createDataFrame([], CALLS))._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "s_grain" in line]
     assert joins and all("s_slice" in line for line in joins)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_synced_overlaps_are_the_replay(spark, seed):
+    writes, reads, events = made_up(seed)
+    want = sorted((w[0], w[2], r[2], r[0], synced(events, w[2], r[2], w[0], r[0])) for w in writes for r in reads if r[0] >= w[0] and meet(w, r))
+    got = pairs.synced_overlaps(*(spark.createDataFrame(rows, ACCESS) for rows in (writes, reads)), spark.createDataFrame(events, SYNC)).collect()
+    assert sorted(map(tuple, got)) == want and {w[4] for w in want} == {True, False}
+
+
+def test_no_pair_is_shuffled(spark):
+    """Above the join of writes and reads nothing is exchanged: the pairs are as many as the square of a busy address's accesses."""
+    from tracelake.plans import trace_queries
+
+    plan = trace_queries.QUERIES["joi_02"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString().splitlines()
+    top = next(n for n, line in enumerate(plan) if "Join" in line)
+    assert "w_start" in plan[top] and "r_start" in plan[top]
+    assert not any("Window" in line or "Aggregate" in line for line in plan[:top])

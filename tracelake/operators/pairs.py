@@ -6,8 +6,8 @@ grains alone, so nothing has to be made distinct afterwards. Finer grains than a
 accesses to different words of one busy page apart.
 
 Synchronisation between two threads is a number: the first step by which both have touched one
-lock, counted from a step. It comes from intervals that are minimal for the pair, found once for
-all accesses, and it bounds the join instead of a lookup for each pair.
+lock, counted from a step. It is found for accesses and not for pairs (module sweeps); first_sync()
+finds it for any probes, from intervals that are minimal for the pair.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import end_of, ordered
+from . import sweeps
 from .asof import active_function
 from .kernels import least_later, neighbours
-from .sweeps import conflicts, first_reads
 
 GRAIN = 16
 
@@ -90,6 +90,11 @@ def has_sync(probes: DataFrame, sync: DataFrame) -> DataFrame:
     return first_sync(probes, sync).withColumn("has_sync", F.coalesce(F.col("first_sync") <= F.col("until"), F.lit(False))).drop("first_sync")
 
 
+def synced_overlaps(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFrame:
+    """(step, thread_id, other, until, has_sync): writes and reads of another thread at their step or later that overlap them, and whether both threads touch one lock between."""
+    return sweeps.synced_overlaps(accesses(writes), accesses(reads), sync)
+
+
 def races(writes: DataFrame, reads: DataFrame, sync: DataFrame, calls: DataFrame) -> DataFrame:
     """Unsynchronised conflicting accesses of different threads.
 
@@ -102,7 +107,7 @@ def races(writes: DataFrame, reads: DataFrame, sync: DataFrame, calls: DataFrame
     """
     both = accesses(writes).withColumn("write", F.lit(True)).unionByName(accesses(reads).withColumn("write", F.lit(False)))
     both = active_function(both, calls).withColumnRenamed("active_function", "function")
-    pairs = conflicts(both, sync).withColumnsRenamed({"f_write": "first_is_write", "s_write": "second_is_write"})
+    pairs = sweeps.conflicts(both, sync).withColumnsRenamed({"f_write": "first_is_write", "s_write": "second_is_write"})
     pairs = pairs.withColumn("kind", F.when(~F.col("second_is_write"), 0).when(F.col("first_is_write"), 1).otherwise(2))
     gap = F.col("s_step") - F.col("f_step")
     base = F.lit(0.5) + F.when(gap < 100, 0.3).when(gap < 1000, 0.15).otherwise(0.0)
@@ -136,7 +141,7 @@ def data_flows(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFram
     For each write, and each other thread, the thread's first later read that overlaps it.
     is_synchronized says whether both threads touched one lock between the two steps.
     """
-    rows = first_reads(accesses(writes), accesses(reads), sync)
+    rows = sweeps.first_reads(accesses(writes), accesses(reads), sync)
     start, begin = ordered(F.col("address")), ordered(F.col("read_address"))
     low, high = F.greatest(start, begin), F.least(end_of(start, F.col("write_size")), end_of(begin, F.col("read_size")))
     return rows.withColumns({"overlap_address": ordered(low), "overlap_size": high - low}).select(

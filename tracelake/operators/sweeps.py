@@ -347,3 +347,52 @@ def conflicts(accesses: DataFrame, sync: DataFrame) -> DataFrame:
     once = F.col("grain") == _grain(F.greatest("f_start", "s_start"))
     late = late.where(once & (F.col("f_start") < F.col("s_end")) & (F.col("s_start") < F.col("f_end")) & (F.col("f_write") | F.col("s_write")) & (F.col("s_step") < F.col("bound")))
     return found.unionByName(late.select(*found.columns))
+
+
+def _met(g: _Group) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of accesses and of rows that say which other thread touches a grain of theirs, and the bound."""
+    rows, asked = np.flatnonzero(g.tag <= READ), np.flatnonzero(g.tag == LATER)
+    if not rows.size or not asked.size:
+        return
+    threads, who = np.unique(g.thread_id[asked], return_inverse=True)
+    grains, place = np.unique(g.address[asked], return_inverse=True)
+    order = np.argsort(place * threads.size + who)
+    asked, keys = asked[order], (place * threads.size + who)[order]
+    low, high = g.start[rows] >> _SHIFT, np.maximum(g.start[rows], g.end[rows] - 1) >> _SHIFT
+    for t in range(threads.size):
+        bound = g.bounds.after(g.thread_id[rows], np.full(rows.size, threads[t]), g.step[rows])
+        for cut in _chunks(high - low + 1):
+            whose, nth = _spread((high - low + 1)[cut])
+            there = _places(grains, low[cut][whose] + nth)
+            found = np.where(there >= 0, _places(keys, there * threads.size + t), -1)
+            ok = np.flatnonzero((found >= 0) & (g.thread_id[rows[cut]] != threads[t])[whose])
+            yield rows[cut][whose[ok]], asked[found[ok]], bound[cut][whose[ok]]
+
+
+def synced_overlaps(writes: DataFrame, reads: DataFrame, sync: DataFrame) -> DataFrame:
+    """(step, thread_id, other, until, has_sync): each write and each read of another thread at its step or later that overlaps it, and whether both threads touch one lock between.
+
+    By when they do is known for each write, grain and reading thread before the pairs are made, so
+    these are the rows of one join and are not shuffled.
+    """
+    reachable(writes.sparkSession)
+    width = span()
+    written = _rows(writes, WRITE, width)
+    read = _grained(_rows(reads, READ, width)).select("grain", "thread_id", F.col("step").alias("until"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    readers = read.groupBy("grain", "thread_id").agg(F.max("until").alias("last"))
+    asked = _grained(written).select("grain", "slice").distinct().join(readers, "grain").where(F.col("last") >= F.col("slice") * width)
+    blank = F.lit(None).cast("long")
+    asked = asked.select("slice", F.lit(LATER).alias("tag"), blank.alias("step"), blank.alias("ord"), "thread_id", F.col("grain").alias("address"), *(blank.alias(c) for c in ("size", "start", "end")))
+    rows = written.unionByName(asked).unionByName(_sync_rows(sync, written, width))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = _Group(batches, width)
+        for w, met, bound in _met(g):
+            yield from g.batches({"step": ("step", w), "thread_id": ("thread_id", w), "other": ("thread_id", met), "w_start": ("start", w), "w_end": ("end", w), "w_grain": ("address", met), "bound": bound})
+
+    kind = {f.name: f.dataType.simpleString() for f in written.schema}
+    left = rows.groupBy("slice").applyInArrow(found, f"step {kind['step']}, thread_id {kind['thread_id']}, other {kind['thread_id']}, w_start long, w_end long, w_grain long, bound long")
+    right = read.withColumnRenamed("thread_id", "reader")
+    once = F.col("w_grain") == _grain(F.greatest("w_start", "r_start"))
+    met = left.join(right, (F.col("w_grain") == F.col("grain")) & (F.col("other") == F.col("reader")) & (F.col("until") >= F.col("step")) & (F.col("w_start") < F.col("r_end")) & (F.col("r_start") < F.col("w_end")) & once)
+    return met.select("step", "thread_id", "other", "until", (F.col("bound") <= F.col("until")).alias("has_sync"))
